@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rangeflow.llm import fingerprints, media, sentencepieces
+from rangeflow.llm import fingerprints, media, sentencepieces, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.query,
     "op2_sentencepieces": sentencepieces.query,
+    "op5_substrings": substrings.query,
+    "op6_simhash": simhash.query,
     "op7_media_columns": media.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_substrings": substrings.ORACLE_SQL,
+}
