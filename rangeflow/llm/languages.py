@@ -27,7 +27,7 @@ FILTERS = 12  # of each width
 EMBEDDED = 8
 PER_LANGUAGE = 1500  # documents of each language that training may see
 PER_DOCUMENT = 3  # windows of each
-EPOCHS, BATCH, RATE = 6, 64, 0.004
+EPOCHS, STEPS, BATCH, RATE = 6, 500, 64, 0.004  # at least so many passes and so many steps
 TOGETHER = 96  # windows that are answered at once
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -90,7 +90,7 @@ class ByteConvolution:
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
         step = 0
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-STEPS * BATCH // max(1, len(windows))))):
             order = rng.permutation(len(windows))
             for at in range(0, len(order), BATCH):
                 pick = order[at : at + BATCH]
