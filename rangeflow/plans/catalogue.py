@@ -603,3 +603,33 @@ def aimd_trace(spark, sf_dir):
 def notify_payload(spark, sf_dir):
     found = checkpoint.summarise(_run_units(spark, sf_dir)).drop("done").first().asDict()
     return spark.createDataFrame([("complete", progress.notification("orders", "complete", found, 12.5)), ("failed", progress.notification("orders", "failed", found, 12.5, "unit 3"))], "kind string, body string")
+
+
+# ---- streams and whole runs
+
+
+@query(_apply_sql(True, True))
+def cdc_stream_apply(spark, sf_dir):
+    """The log as a stream: planned in micro-batches, stored, and applied."""
+    from rangeflow.sources.storage import table_stream, work_dir
+    from rangeflow.streaming import changes
+
+    folder, stream = work_dir(spark, "changes"), table_stream(spark, sf_dir, "events")
+    changes.capture(fx.change_log(stream, True, True), fx.EVENTS, folder).awaitTermination()
+    return changes.table(spark, fx.EVENTS, folder)
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderdate, o_orderpriority, o_orderstatus, o_totalprice FROM orders")
+def copy_table(spark, sf_dir):
+    """A whole copy by committed units, read back."""
+    import os
+    import tempfile
+
+    from rangeflow.engine import Copy
+    from rangeflow.sources.storage import work_dir
+
+    with tempfile.TemporaryDirectory() as d:  # the driver's own checkpoint file
+        copy = Copy(spark, fx.read(spark, sf_dir, "orders"), fx.ORDERS, work_dir(spark, "copy"), checkpoint.Checkpoint(os.path.join(d, "run.db")), fx.portable_token(F.col("o_custkey")), fx.PARENT)
+        key = copy.start("orders", fx.UNITS)
+        copy.run(key)
+        return copy.result(key).drop("_tok")
