@@ -188,8 +188,8 @@ def classes(prints: DataFrame, budget: int = 4) -> DataFrame:
     member = distinct.join(rooted.withColumnRenamed("node", "bits"), "bits")
     named = member.groupBy("root").agg(F.min("first").alias("component"))
     renamed = member.join(named, "root").select("bits", "component")
-    # hot fingerprints are on the long side of the join only, where they can be split
-    firsts = distinct.join(renamed, "bits", "left").select("bits", F.coalesce("component", "first").alias("component_id"))
+    # written out, so that both sides of the last join are dealt out for it alone and a hot fingerprint can be split
+    firsts = cut(distinct.join(renamed, "bits", "left").select("bits", F.coalesce("component", "first").alias("component_id")))
     return prints.join(firsts, "bits").select("doc_id", "bits", "component_id")
 
 
