@@ -7,6 +7,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MIN_TOKEN, MAX_TOKEN = -(2**63), 2**63 - 1
 #: The portable token has 60 bits; the range that holds all of them excludes its lower end.
@@ -63,7 +64,7 @@ def murmur3_token(data: bytes) -> int:
     return MAX_TOKEN if token == MIN_TOKEN else token
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def ring_token(key: pd.Series) -> pd.Series:
     """The ring token of a binary column; null for null."""
     return key.map(lambda x: None if x is None else murmur3_token(bytes(x))).astype("Int64")
