@@ -56,9 +56,7 @@ def write_units(rows: DataFrame, path: str) -> dict[int, tuple[int, int | None]]
     """
     salt = F.pmod(F.xxhash64("_tok"), F.lit(8))
     rows.repartition("unit", salt).write.mode("errorifexists").partitionBy("unit").parquet(path)
-    written = rows.sparkSession.read.parquet(path)
-    if "unit" not in written.columns:  # no rows, no folders
-        return {}
+    written = rows.sparkSession.read.schema(rows.schema).parquet(path)
     found = written.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.max("_tok").alias("last")).collect()  # one row a unit
     return {r.unit: (r.n, r.last) for r in found}
 
