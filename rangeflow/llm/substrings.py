@@ -28,7 +28,8 @@ from rangeflow.llm.common import cut, emit, rows, table, word_spans
 
 WINDOW = 50
 SHINGLE = 8  # a power of two
-BLOCK = 4096  # rows of an anchor beyond which its windows are counted one by one
+SALTS = 16  # tasks that the rows of one window are spread over
+BLOCK = 1024  # rows of an anchor beyond which its windows are counted one by one
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -207,8 +208,11 @@ def remove_repeats(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     spans = passages.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "print", "start").mapInArrow(_factored, "doc_id long, print long, lo int, hi int")
     if not of_doc.where(F.size("hot") > 0).isEmpty():
         windows = texts_with("hot").mapInArrow(_windows, "w1 long, w2 long, doc_id long, print long, lo int")
-        first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"))
-        spans = spans.union(windows.join(first, ["w1", "w2"]).where("doc_id > first").select("doc_id", "print", "lo", (F.col("lo") + WINDOW).alias("hi")))
+        first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+        # one row a window, repeated for each salt, so that a window of very many documents is spread
+        first = first.select("w1", "w2", "first", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+        salted = windows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        spans = spans.union(salted.join(first, ["w1", "w2", "salt"]).where("doc_id > first").select("doc_id", "print", "lo", (F.col("lo") + WINDOW).alias("hi")))
     of_doc_spans = spans.groupBy("doc_id", "print").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     marked = named.join(of_doc_spans, ["doc_id", "print"], "left").select("doc_id", "text", "spans")
     schema = "doc_id long, n_words long, n_removed long, kept string"
