@@ -11,20 +11,24 @@ from rangeflow.llm.common import cut
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of the links ``a, b`` (long); ``root`` is one node of the component.
 
-    Each round hooks every node to its smallest neighbour if that is smaller,
-    follows the hooks once more, and goes on with the links between what the
-    nodes have become.  Nodes that still have links shrink fast, and so do the
-    rounds.  The minimum is taken before the shuffle, so a node with very many
-    neighbours costs no task more than its own links.  Loops and repeated links
-    do no harm; rows with nulls are left out; no links give no rows.
+    Each round gives the nodes a new random order by a hash, hooks every node to
+    its first neighbour if that comes before itself, follows the hooks to a depth
+    of four, and goes on with the links between what the nodes have become.  The
+    nodes that still have links shrink by a constant factor a round, chains
+    included.  The first neighbour is found before the shuffle, so a node with
+    very many neighbours costs no task more than its own links.  Loops and
+    repeated links do no harm; rows with nulls are left out; no links give no rows.
     """
     left = cut(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct())
     rounds = []
     while not left.isEmpty():
-        hooks = left.select("a", "b").union(left.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("to"))
-        hooks = cut(hooks)
-        on = hooks.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        step = cut(hooks.join(on, "to").select("node", F.col("further").alias("to")))
+        place = lambda c: F.struct(F.xxhash64(c, F.lit(len(rounds))).alias("at"), F.col(c).alias("to"))
+        both = left.select("a", "b").union(left.select("b", "a"))
+        step = both.groupBy("a").agg(F.min(place("b")).alias("first")).select(F.col("a").alias("node"), F.least(place("a"), F.col("first"))["to"].alias("to"))
+        for _ in range(2):
+            step = cut(step)
+            step = step.join(step.select(F.col("node").alias("to"), F.col("to").alias("further")), "to").select("node", F.col("further").alias("to"))
+        step = cut(step)
         rounds.append(step)
         for end in ("a", "b"):
             left = left.join(step.select(F.col("node").alias(end), F.col("to").alias(f"{end}_to")), end)
