@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rangeflow.llm.common import cut, emit, id_text, rows, table
+from rangeflow.llm.common import cut, emit, fresh, id_text, rows, table
 from rangeflow.llm.graph import components
 
 SEED = 42
@@ -46,14 +46,14 @@ def simhash(text: str | None, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """``doc_id, bits`` of every whole text; ``bits`` holds the fingerprint's 64 bits as a signed long.  No shuffle."""
+    """``doc_id, print, bits`` of every whole text; ``bits`` holds the fingerprint's 64 bits as a signed long, ``print`` a hash of the text.  No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("bits", pa.int64())])
-        signed = ((i, simhash(t, words)) for i, t in rows(batches))
-        yield from emit(((i, h - (h >> 63 << 64)) for i, h in signed), schema)
+        schema = pa.schema([("doc_id", pa.int64()), ("print", pa.int64()), ("bits", pa.int64())])
+        signed = ((i, p, simhash(t, words)) for i, t, p in rows(batches))
+        yield from emit(((i, p, h - (h >> 63 << 64)) for i, p, h in signed), schema)
 
-    return id_text(docs).mapInArrow(run, "doc_id long, bits long")
+    return id_text(docs, F.xxhash64(F.col("text").cast("string")).alias("print")).mapInArrow(run, "doc_id long, print long, bits long")
 
 
 def _labels(parent: np.ndarray) -> np.ndarray:
@@ -176,7 +176,7 @@ def link_fingerprints(distinct: DataFrame, budget: int = 4) -> DataFrame:
 
 
 def classes(prints: DataFrame, budget: int = 4) -> DataFrame:
-    """``doc_id, bits, component_id`` for the fingerprints ``doc_id, bits``: the smallest id that links reach.
+    """The fingerprints ``doc_id, bits`` with all columns, and ``root``, a fingerprint that names the class, and ``component_id``, the smallest id in it.
 
     Copies count once: only distinct fingerprints are joined.  Null ids keep
     their rows and pass links on, but name a class only where it has no other
@@ -187,10 +187,10 @@ def classes(prints: DataFrame, budget: int = 4) -> DataFrame:
     rooted = components(link_fingerprints(distinct, budget))
     member = distinct.join(rooted.withColumnRenamed("node", "bits"), "bits")
     named = member.groupBy("root").agg(F.min("first").alias("component"))
-    renamed = member.join(named, "root").select("bits", "component")
+    renamed = member.join(named, "root").select("bits", "root", "component")
     # written out, so that both sides of the last join are dealt out for it alone and a hot fingerprint can be split
-    firsts = cut(distinct.join(renamed, "bits", "left").select("bits", F.coalesce("component", "first").alias("component_id")))
-    return prints.join(firsts, "bits").select("doc_id", "bits", "component_id")
+    firsts = cut(distinct.join(renamed, "bits", "left").select("bits", F.coalesce("root", "bits").alias("root"), F.coalesce("component", "first").alias("component_id")))
+    return prints.join(firsts, "bits").select(*prints.columns, "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4) -> DataFrame:
@@ -207,15 +207,20 @@ def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4) -> DataFra
 def keep_one(docs: DataFrame, words: int = 4, budget: int = 4) -> DataFrame:
     """The documents with one of each class of near-duplicates left, the one with the smallest id; all columns stay.
 
-    Of several rows with that id one stays, the first by text.  Rows without id
-    are kept, for nothing tells them apart.
+    Of several texts with that id in one class the one with the smallest hash
+    stays, and of repeated rows one.  Rows without id are kept, for nothing
+    tells them apart.
     """
-    found = classes(fingerprints(docs, words), budget)
-    kept = cut(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies")))
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
-    if not kept.where("copies > 1").isEmpty():
-        first = Window.partitionBy("doc_id").orderBy("text")
-        out = out.select(docs.columns + [F.row_number().over(first).alias("_nth")]).where("_nth = 1").drop("_nth")
+    found = classes(fingerprints(docs, words), budget).where("doc_id = component_id")
+    own, text_print, nth = fresh(docs, "own_id", "own_print", "nth")
+    each = found.groupBy("root", "doc_id", "print").agg(F.count(F.lit(1)).alias("copies"))
+    first = each.groupBy("root").agg(F.min(F.struct("doc_id", "print", "copies")).alias("k"))
+    first = cut(first.select(F.col("k.doc_id").alias(own), F.col("k.print").alias(text_print), "k.copies"))
+    same = (F.col("doc_id").cast("long") == F.col(own)) & (F.xxhash64(F.col("text").cast("string")) == F.col(text_print))
+    out = docs.join(first.select(own, text_print), same, "left_semi")
+    if not first.where("copies > 1").isEmpty():
+        order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
+        out = out.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
     return out.unionByName(docs.where("doc_id is null"))
 
 
