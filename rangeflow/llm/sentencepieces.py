@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rangeflow.llm.common import emit, id_text, rows, table
 
 SPACE = "▁"
-KEPT = 150_000  # segments that a worker keeps, and again as many of the generation before
+KEPT = 300_000  # segments that a worker keeps, and again as many of the generation before
 
 
 class PrefixTable:
