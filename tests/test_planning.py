@@ -73,3 +73,15 @@ def test_uneven_plans_by_cells(spark, monkeypatch):
     monkeypatch.setattr(scan, "MAX_BROADCAST_RANGES", 10)
     assert sorted((str(t), u) for t, u in scan.assign_ranges(df, frame).collect()) == want
     assert all(u is None if t == "None" else int(t) in ranges[u] for t, u in want)
+
+
+def test_ring_tokens_of_columns(spark):
+    from pyspark.sql import functions as F
+
+    from rangeflow.functions.tokens import key_bytes, ring_token
+
+    df = spark.createDataFrame([("hello", 7), (None, 8), ("é" * 20, 9)], "a string, b int")
+    one = df.select(ring_token(F.col("a").cast("binary"))).collect()
+    assert [r[0] for r in one] == [murmur3_token(b"hello"), None, murmur3_token(("é" * 20).encode())]
+    both = df.where("b = 7").select(key_bytes(F.col("a").cast("binary"), F.unhex(F.lit("00000007"))).alias("k")).first()
+    assert bytes(both.k) == b"\x00\x05hello\x00" + b"\x00\x04\x00\x00\x00\x07\x00"
