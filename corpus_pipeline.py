@@ -35,8 +35,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id stays."""
-    return simhash.keep_one(docs)
+    """Of each class of near-duplicates, at a similarity of 0.8 over five words, the document with the smallest id stays."""
+    return simhash.keep_dissimilar(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,11 +6,18 @@ its blocks, rotated so that the block comes first; all that share it form a
 binary trie.  The join walks pairs of trie nodes from the root, adds one for
 each level where the two sides part, and drops a pair when it exceeds the
 budget, or when all below it is linked already.
+
+``keep_dissimilar`` links by the exact Jaccard similarity of shingle sets
+instead.  Texts are compared where they share a class of the trie join or one
+of ``BANDS`` keys of ``ROWS`` minima of their hashed shingles each; two texts at
+a similarity of 0.8 share none of the keys with a chance of about 3e-5.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +32,9 @@ SEED = 42
 BITS = 64
 PAIRS = 1 << 18  # node pairs that are expanded at once
 GATHERED = 1 << 17  # fingerprints whose tries are walked together
+BANDS, ROWS = 20, 4  # keys of a text, and minima in each
+SPLIT, PIECES = 512, 16  # texts of one key that are compared in one task, as long as this takes at most so many pieces
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
 def simhash(text: str | None, words: int = 4) -> int:
@@ -212,8 +222,13 @@ def keep_one(docs: DataFrame, words: int = 4, budget: int = 4) -> DataFrame:
     tells them apart.
     """
     found = classes(fingerprints(docs, words), budget).where("doc_id = component_id")
-    own, text_print, nth = fresh(docs, "own_id", "own_print", "nth")
     each = found.groupBy("root", "doc_id", "print").agg(F.count(F.lit(1)).alias("copies"))
+    return _firsts(docs, each)
+
+
+def _firsts(docs: DataFrame, each: DataFrame) -> DataFrame:
+    """The documents that come first in their class, by id and text, and those without id; ``each`` has ``root, doc_id, print, copies``."""
+    own, text_print, nth = fresh(docs, "own_id", "own_print", "nth")
     first = each.groupBy("root").agg(F.min(F.struct("doc_id", "print", "copies")).alias("k"))
     first = cut(first.select(F.col("k.doc_id").alias(own), F.col("k.print").alias(text_print), "k.copies"))
     same = (F.col("doc_id").cast("long") == F.col(own)) & (F.xxhash64(F.col("text").cast("string")) == F.col(text_print))
@@ -224,5 +239,101 @@ def keep_one(docs: DataFrame, words: int = 4, budget: int = 4) -> DataFrame:
     return out.unionByName(docs.where("doc_id is null"))
 
 
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; a text without words has one, zero."""
+    parts = (text or "").encode().lower().split()
+    k = min(words, len(parts))
+    if not k:
+        return np.zeros(1, dtype=np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(parts[i : i + k]), SEED) for i in range(len(parts) - k + 1)], dtype=np.uint64))
+
+
+def band_keys(own: np.ndarray) -> list[int]:
+    """The keys of a shingle set, as signed longs; sets share many where they are similar."""
+    least = np.full(len(FACTORS), 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(own), 1 << 10):
+        least = np.minimum(least, (own[at : at + (1 << 10), None] * FACTORS).min(axis=0))
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))], dtype=np.uint64).view(np.int64).tolist()
+
+
+def similar(sets: list[np.ndarray], least: float) -> Iterator[tuple[int, int]]:
+    """Links between the sets that join all with a Jaccard similarity of ``least`` or more, by exact counts.
+
+    A set that has been reached is compared only with those that have not, so a
+    class of similar sets takes far fewer comparisons than it has pairs.
+    """
+    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own = np.split(ids, np.cumsum(sizes)[:-1])
+    has = np.zeros(ids.max() + 1, dtype=np.int32)
+    left, rest, queue = np.arange(len(sets)), ids, []
+    while len(left):
+        x = queue.pop() if queue else int(left[0])
+        has[own[x]] = 1
+        n = sizes[left]
+        both = np.add.reduceat(has[rest], np.cumsum(n) - n)
+        has[own[x]] = 0
+        near = (both >= least * (n + sizes[x] - both) - 1e-9) | (left == x)
+        if near.any():
+            reached = left[near & (left != x)].tolist()
+            yield from ((x, y) for y in reached)
+            queue += reached
+            left, rest = left[~near], rest[np.repeat(~near, n)]
+
+
+def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
+    """``doc_id, print, bits, keys`` of every whole text: as ``fingerprints``, and its band keys.  No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("print", pa.int64()), ("bits", pa.int64()), ("keys", pa.list_(pa.int64()))])
+        signed = ((i, p, simhash(t, words), band_keys(shingles(t, words))) for i, t, p in rows(batches))
+        yield from emit(((i, p, h - (h >> 63 << 64), keys) for i, p, h, keys in signed), schema)
+
+    return id_text(docs, F.xxhash64(F.col("text").cast("string")).alias("print")).mapInArrow(run, "doc_id long, print long, bits long, keys array<long>")
+
+
+def keep_dissimilar(docs: DataFrame, words: int = 5, least: float = 0.8, budget: int = 4) -> DataFrame:
+    """As ``keep_one``, but two texts are near-duplicates where their sets of shingles have a Jaccard similarity of ``least`` or more.
+
+    What the fingerprints link is checked as well.  Texts without words are
+    alike.  Only texts that share a key with another are shuffled.
+    """
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple[int, int]]:
+            for _, group in groupby(rows(batches), key=itemgetter(0, 1, 2)):
+                prints, sets = zip(*((p, shingles(t, words)) for *_, p, t in group))
+                yield from ((prints[i], prints[j]) for i, j in similar(list(sets), least))
+
+        yield from emit(found(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    some_id = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
+    # one row for each id and text, then for each text: partial results meet, however many copies it has
+    per_id = sketches(docs, words).groupBy("print", "doc_id").agg(F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
+    texts = per_id.groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "copies")).alias("k"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
+    texts = cut(texts.select("print", "k.doc_id", "k.copies", "bits", "keys"))
+    rooted = components(link_fingerprints(texts.select("bits").distinct(), budget)).withColumnRenamed("node", "bits")
+    by_bits = texts.join(rooted, "bits", "left").select(F.xxhash64(F.lit(BANDS), F.coalesce("root", "bits")).alias("key"), "print")
+    members = cut(texts.select(F.explode("keys").alias("key"), "print").union(by_bits))
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = cut(members.join(shared, "key"))
+    wanted = texts.join(members.select("print").distinct(), "print", "left_semi").select(some_id("doc_id").alias("doc_id"), "print")
+    given = id_text(docs, F.xxhash64(F.col("text").cast("string")).alias("print")).withColumn("doc_id", some_id("doc_id"))
+    held = given.join(wanted, ["doc_id", "print"], "left_semi").groupBy("print").agg(F.first("text").alias("text"))
+    # the texts of a hot key are cut into pieces, and every two pieces meet
+    pieces = F.least(F.ceil(F.col("n") / SPLIT), F.lit(PIECES)).cast("int")
+    own = F.pmod(F.xxhash64("print", "key"), pieces).cast("int")
+    met = F.when(pieces == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), pieces - 1), F.array(own)))
+    cells = members.select("key", "print", own.alias("own"), F.explode(met).alias("other"))
+    cells = cells.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "print")
+    cell = ["key", "low", "high"]
+    dealt = cells.join(cut(held), "print").select(*cell, "print", "text").repartition(*cell).sortWithinPartitions(*cell)
+    rooted = components(dealt.mapInArrow(links, "a long, b long")).withColumnRenamed("node", "print")
+    each = texts.where("doc_id is not null").join(rooted, "print", "left").select(F.coalesce("root", "print").alias("root"), "doc_id", "print", "copies")
+    return _firsts(docs, each)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -243,6 +243,52 @@ def test_one_of_each_class_stays(spark, odd):
     assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(1, ODD[0][1]), (2, None), (5, ODD[5][1]), (6, "a b c\nother row"), (7, ODD[9][1]), (None, ODD[4][1])]))
 
 
+def brute_similar(texts, k=5, least=0.8):
+    """The first of each class of the distinct texts with ids, linked at a Jaccard similarity of ``least`` over ``k`` words."""
+
+    def shingled(text):
+        words = (text or "").encode().lower().split()
+        return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+    sets, root = {i: shingled(t) for i, t in texts.items()}, {i: i for i in texts}
+    for a in texts:
+        for b in texts:
+            if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) and root[a] != root[b]:
+                root = {i: min(root[a], root[b]) if r in (root[a], root[b]) else r for i, r in root.items()}
+    return set(root.values())
+
+
+def test_similar_documents_by_brute_force(spark, odd, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    for k in range(40):  # copies with a few words changed, from all alike to about half
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((12, 60, 300)))]
+        texts[10**6 + 2 * k] = " ".join(words)
+        for at in rng.sample(range(len(words)), max(1, len(words) * (k % 10) // 100)):
+            words[at] = "other"
+        texts[10**6 + 2 * k + 1] = " ".join(words)
+    want = brute_similar(texts)
+    df = spark.createDataFrame([(i, t, "s") for i, t in texts.items()], "doc_id long, text string, source string")
+    found = [r.doc_id for r in corpus_pipeline.dedup_documents(spark, df, DATA).collect()]
+    assert sorted(found) == sorted(want)
+    assert want != {c for _, _, c in brute_classes([(i, brute_simhash(t)) for i, t in texts.items()])}
+    monkeypatch.setattr(simhash, "SPLIT", 1)  # every two texts of a key meet
+    assert sorted(r.doc_id for r in simhash.keep_dissimilar(df).collect()) == sorted(want)
+    kept = simhash.keep_dissimilar(odd)
+    assert kept.columns == odd.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, ((r.doc_id, r.text) for r in simhash.keep_one(odd).collect())))
+    assert simhash.keep_dissimilar(odd.limit(0)).count() == 0
+
+
+def test_similar_sets_are_linked_exactly():
+    sets = [np.arange(a, a + 80, dtype=np.uint64) for a in (0, 8, 17, 300, 308, 500)]  # 72 of 88, 71 of 89 and so on
+    links = {tuple(sorted(x)) for x in simhash.similar(sets, 0.8)}
+    assert links == {(0, 1), (3, 4)}
+    assert {tuple(sorted(x)) for x in simhash.similar(sets[:2] + [np.arange(16, 96, dtype=np.uint64)], 0.8)} == {(0, 1), (1, 2)}
+
+
 # ---- shards
 
 
