@@ -71,6 +71,15 @@ def test_templates_by_brute_force(spark, odd):
 # ---- mixing
 
 
+def test_the_pipeline_drops_short_lines(spark):
+    import corpus_pipeline
+
+    texts = [f"own line of {w}\nLes.\nAnd ornd.\nPage {k}\n{k} {k}\n\n2026" for k, w in enumerate(("ash", "birch", "cedar"))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in corpus_pipeline.dedup_lines(spark, df, DATA).orderBy("doc_id").collect()]
+    assert got == [texts[0], "own line of birch\n1 1\n", "own line of cedar\n2 2\n"]
+
+
 def test_mixing_draws_are_poisson_quantiles(spark):
     rates = [0.0001, 0.5, 1.0, 7.3, 63.9]
     sums = {r.m: r.c for r in spark.createDataFrame([(m,) for m in rates], "m double").select("m", mixing.cumulative(F.col("m")).alias("c")).collect()}
