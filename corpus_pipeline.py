@@ -29,8 +29,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of templates that recur across documents go, however short, but for the first; ``n_chars`` follows the text."""
-    kept = templates.drop_templates(docs, min_tokens=1)
+    """Lines of templates that recur across documents go, of any length and by all their tokens, but for the first; ``n_chars`` follows the text."""
+    kept = templates.drop_templates(docs, depth=templates.WHOLE, min_tokens=1)
     return kept.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -80,6 +80,16 @@ def test_the_pipeline_drops_short_lines(spark):
     assert got == [texts[0], "own line of birch\n1 1\n", "own line of cedar\n2 2\n"]
 
 
+def test_the_pipeline_keeps_own_text_after_a_shared_opening(spark):
+    import corpus_pipeline
+
+    opening = " ".join(f"shared{chr(97 + k)}" for k in range(14))
+    texts = [f"{opening} {w} and more\n{opening} page {k}" for k, w in enumerate(("ash", "birch", "cedar", "elm"))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in corpus_pipeline.dedup_lines(spark, df, DATA).orderBy("doc_id").collect()]
+    assert got == [texts[0], *(t.split("\n")[0] for t in texts[1:])]
+
+
 def test_mixing_draws_are_poisson_quantiles(spark):
     rates = [0.0001, 0.5, 1.0, 7.3, 63.9]
     sums = {r.m: r.c for r in spark.createDataFrame([(m,) for m in rates], "m double").select("m", mixing.cumulative(F.col("m")).alias("c")).collect()}
