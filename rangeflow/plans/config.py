@@ -137,7 +137,8 @@ class Planner:
     mode: str = "even"
 
     def __post_init__(self) -> None:
-        _need(self.mode in ("even", "vnode"), f"unknown planner mode {self.mode!r}")
+        _need(self.mode != "vnode", "planner mode 'vnode' needs a topology, which a copy does not have")
+        _need(self.mode == "even", f"unknown planner mode {self.mode!r}")
 
 
 @dataclass(frozen=True)

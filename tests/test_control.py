@@ -96,6 +96,11 @@ partition_key = ["k"]
 """
 
 
+def test_vnode_is_refused():
+    with pytest.raises(config.ConfigError, match="topology"):
+        config.parse(CONFIG + "[planner]\nmode = 'vnode'")
+
+
 def test_config():
     c = config.parse(CONFIG)
     assert (c.units, c.engine.page_size, c.engine.write_batch_size, c.concurrency.initial, c.validation.sample_size, c.live.window_secs) == (512, 5000, 10, 64, 1000, 60)
