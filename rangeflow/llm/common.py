@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,59 @@ def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
+BASE = np.uint64(0x9E3779B97F4A7C15)
+SLICE = 1 << 19  # bytes whose words are hashed at once
+LONG_WORD = 1 << 12  # words of more bytes are hashed one by one
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+@cache
+def _powers(base: int) -> np.ndarray:
+    """As many powers as a slice has bytes, modulo 2 to the 64th."""
+    return np.concatenate([np.ones(1, dtype=np.uint64), np.cumprod(np.full(SLICE, base, dtype=np.uint64))])
+
+
+def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word, whatever its place; a slice of the data at a time, so that a long text takes little more than itself."""
+    up, down = _powers(int(BASE)), _powers(pow(int(BASE), -1, 1 << 64))
+    out, every, at = np.zeros(len(starts), dtype=np.uint64), np.frombuffer(data, dtype=np.uint8), 0
+    while at < len(starts):
+        lo = starts[at]
+        to = int(np.searchsorted(ends, lo + SLICE, side="right"))
+        if to > at:
+            sums = np.zeros(ends[to - 1] - lo + 1, dtype=np.uint64)
+            np.cumsum((every[lo : ends[to - 1]].astype(np.uint64) + np.uint64(1)) * up[: len(sums) - 1], out=sums[1:])
+            s, e = starts[at:to] - lo, ends[at:to] - lo
+            out[at:to] = mixed((sums[e] - sums[s]) * down[s])
+        at = max(to, at + 1)
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return out
+
+
+def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every ``k`` words in a row; of all of them if there are fewer, of none if there are none."""
+    k = min(k, len(words))
+    if not k:
+        return words
+    n, factor = len(words) - k + 1, 1
+    h = np.zeros(n, dtype=np.uint64)
+    for j in range(k):
+        h += words[j : j + n] * np.uint64(factor)
+        factor = factor * int(BASE) % (1 << 64)
+    return mixed(h)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder from whatever store Spark wrote it to; one that is not there is passed over."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a temporary one only for a local master without the setting."""
     sc = spark.sparkContext

@@ -24,46 +24,23 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeflow.llm.common import cut, emit, rows, table, word_spans
+from rangeflow.llm.common import BASE, cut, emit, mixed, rows, table, word_hashes, word_spans
 
 WINDOW = 50
 SHINGLE = 8  # a power of two
 SALTS = 16  # tasks that the rows of one window are spread over
 BLOCK = 1024  # rows of an anchor beyond which its windows are counted one by one
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64)}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    """The first ``n`` powers of the base, or of its inverse, modulo 2 to the 64th."""
-    if len(_powers[kind]) < n:
-        base = BASE if kind == "up" else INVERSE
-        _powers[kind] = np.concatenate([np.ones(1, dtype=np.uint64), np.cumprod(np.full(2 * n, base, dtype=np.uint64))])
-    return _powers[kind][:n]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
-def _word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((np.frombuffer(data, dtype=np.uint8).astype(np.uint64) + np.uint64(1)) * _power("up", len(data)), out=sums[1:])
-    return _mixed((sums[ends] - sums[starts]) * _power("down", len(data))[starts])
-
 
 def anchors(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """For each window of 50 words the smallest hash of its eight-word shingles."""
     if len(starts) < WINDOW:
         return np.zeros(0, dtype=np.uint64)
-    h, step, factor = _word_hashes(data, starts, ends), 1, int(BASE)
+    h, step, factor = word_hashes(data, starts, ends), 1, int(BASE)
     while step < SHINGLE:
         h = h[:-step] + h[step:] * np.uint64(factor)
         step, factor = step * 2, factor * factor % (1 << 64)
-    h, width, reach = _mixed(h), WINDOW - SHINGLE + 1, 1
+    h, width, reach = mixed(h), WINDOW - SHINGLE + 1, 1
     while 2 * reach <= width:
         h = np.minimum(h[:-reach], h[reach:])
         reach *= 2
