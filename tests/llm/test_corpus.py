@@ -31,34 +31,54 @@ def test_same_rows_as_sql(name, spark, duck, same):
 
 
 def brute_templates(rows):
-    seen, lines = defaultdict(dict), {}
+    def place(key, no):
+        h = xxhash.xxh64_intdigest(key[1].encode(), 42)
+        return key[0], h - (h >> 63 << 64), no
+
+    leaves, template = defaultdict(dict), {}
     for i, t in {r for r in rows if r[1] is not None}:
         key = (-(2**63) if i is None else i, t)
         for no, line in enumerate(t.split("\n")):
-            tokens = line.split()
-            if len(tokens) >= templates.MIN_TOKENS:
-                leaf = (len(tokens), *("<*>" if any(c in "0123456789" for c in w) else w for w in tokens[: templates.DEPTH]))
-                lines[key, no] = leaf
-                seen[leaf].setdefault(key, no)
-    recurring = {leaf for leaf, docs in seen.items() if len(docs) >= templates.MIN_DOCS}
+            tokens = line.encode().split()
+            digits = [any(c in b"0123456789" for c in w) for w in tokens]
+            if tokens and not (len(tokens) < templates.SHORT and all(digits)):
+                tokens = [b"<*>" if d else w for w, d in zip(tokens, digits)]
+            if tokens:
+                leaves[len(tokens), *tokens[: templates.DEPTH]][place(key, no), key] = tokens[templates.DEPTH :]
+    for leaf, lines in leaves.items():
+        left = dict(lines)
+        if len({key for _, key in lines}) >= templates.MIN_DOCS:
+            for k in range(templates.SPLITS):
+                if left:
+                    model = left[min(left)]
+                    near = {x for x, tail in left.items() if sum(a == b for a, b in zip(tail, model)) >= np.ceil(len(tail) * templates.FIXED)}
+                    template |= {x: (leaf, k) for x in near}
+                    left = {x: tail for x, tail in left.items() if x not in near}
+        template |= {x: (leaf, *tail) for x, tail in left.items()}
+    docs, first = defaultdict(set), {}
+    for at, key in template:
+        docs[template[at, key]].add(key)
+        first[template[at, key]] = min(first.get(template[at, key], at), at)
+    gone = {(key, at[2]) for (at, key), t in template.items() if len(docs[t]) >= templates.MIN_DOCS and first[t] != at}
     for i, t in rows:
         key = (-(2**63) if i is None else i, t)
-        if t is None:
-            yield i, None, 0
-            continue
-        kept = []
-        for no, line in enumerate(t.split("\n")):
-            leaf = lines.get((key, no))
-            first = leaf in recurring and min((k[0], xxhash.xxh64_intdigest(k[1].encode(), 42) - (xxhash.xxh64_intdigest(k[1].encode(), 42) >> 63 << 64), n) for k, n in seen[leaf].items())
-            if leaf not in recurring or first == (key[0], xxhash.xxh64_intdigest(t.encode(), 42) - (xxhash.xxh64_intdigest(t.encode(), 42) >> 63 << 64), no):
-                kept.append(line)
-        yield i, "\n".join(kept), t.count("\n") + 1 - len(kept)
+        kept = [line for no, line in enumerate(t.split("\n")) if (key, no) not in gone] if t is not None else []
+        yield i, None if t is None else "\n".join(kept), 0 if t is None else t.count("\n") + 1 - len(kept)
 
 
 def test_templates_by_brute_force(spark, odd):
     rng = random.Random(1)
     line = lambda: f"user {rng.randrange(9)} of {rng.choice('ab')} logged in" if rng.random() < 0.5 else " ".join(rng.choice("pqrs") for _ in range(rng.randrange(0, 5)))
-    rows = [(k, "\n".join(line() for _ in range(rng.randrange(1, 6)))) for k in range(60)]
+    opening = " ".join(f"o{chr(97 + k)}" for k in range(12))
+    tails = [" ".join(rng.choice("tu") for _ in range(n)) for n in (1, 1, 20, 20, 20)]
+
+    def varied():
+        tail = rng.choice(tails).split()
+        for _ in range(rng.randrange(3)):
+            tail[rng.randrange(len(tail))] = rng.choice(("x", "y", "7"))
+        return f"{opening} {' '.join(tail)}"
+
+    rows = [(k, "\n".join(rng.choice((line, line, varied))() for _ in range(rng.randrange(1, 6)))) for k in range(90)]
     made = spark.createDataFrame(rows, "doc_id long, text string")
     for df, given in ((made, rows), (odd, ODD)):
         got = templates.drop_templates(df)
@@ -68,7 +88,12 @@ def test_templates_by_brute_force(spark, odd):
     assert templates.drop_templates(odd.limit(0)).count() == 0
 
 
-# ---- mixing
+def test_no_line_is_lost_for_its_tail(spark):
+    opening = " ".join("one two three four five six seven eight nine ten eleven twelve".split())
+    texts = [f"{opening} {w}" for w in ("alpha", "beta", "gamma")] + [f"{opening} {' '.join('abcdefghi')} {w}" for w in "xyz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in templates.drop_templates(df).orderBy("doc_id").collect()]
+    assert got == [*texts[:4], "", ""]
 
 
 def test_the_pipeline_drops_short_lines(spark):
@@ -90,6 +115,9 @@ def test_the_pipeline_keeps_own_text_after_a_shared_opening(spark):
     assert got == [texts[0], *(t.split("\n")[0] for t in texts[1:])]
 
 
+# ---- mixing
+
+
 def test_mixing_draws_are_poisson_quantiles(spark):
     rates = [0.0001, 0.5, 1.0, 7.3, 63.9]
     sums = {r.m: r.c for r in spark.createDataFrame([(m,) for m in rates], "m double").select("m", mixing.cumulative(F.col("m")).alias("c")).collect()}
@@ -234,6 +262,29 @@ def test_trie_join_finds_every_class(spark):
     assert got == sorted(brute_classes(prints))
 
 
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_more_blocks_link_the_same(spark, monkeypatch, k):
+    rng = np.random.default_rng(k)
+    base = rng.integers(0, 2**63, 30, dtype=np.uint64).tolist()
+    prints = {x ^ sum({1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 6))}) for x in base for _ in range(8)}
+    df = spark.createDataFrame([(x - (x >> 63 << 64),) for x in prints], "bits long")
+    monkeypatch.setattr(simhash, "block_choices", lambda budget, n, f=simhash.block_choices: f(budget, (1 << 20, 1 << 32, 1 << 50)[k - 1]))
+    assert len(simhash.block_choices(4, 0)[1]) == (5, 15, 35)[k - 1]
+    rooted = {r.node & (2**64 - 1): r.root for r in graph.components(simhash.link_fingerprints(df)).collect()}
+    for a in prints:
+        for b in prints:
+            if a < b and (a ^ b).bit_count() <= 4:
+                assert rooted[a] == rooted[b]
+
+
+def test_wide_fingerprints_part_by_similarity():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        own = rng.integers(0, 2**63, 340, dtype=np.uint64)
+        a, b, c = (simhash.wide_simhash(np.unique(x)) for x in (own[:306], own[34:], rng.integers(0, 2**63, 306, dtype=np.uint64)))
+        assert np.bitwise_count(a ^ b).sum() <= simhash.NEAR < np.bitwise_count(a ^ c).sum()
+
+
 def test_trie_join_in_small_steps(monkeypatch):
     rng = np.random.default_rng(7)
     monkeypatch.setattr(simhash, "PAIRS", 8)
@@ -293,7 +344,8 @@ def test_similar_documents_by_brute_force(spark, odd, monkeypatch):
     found = [r.doc_id for r in corpus_pipeline.dedup_documents(spark, df, DATA).collect()]
     assert sorted(found) == sorted(want)
     assert want != {c for _, _, c in brute_classes([(i, brute_simhash(t)) for i, t in texts.items()])}
-    monkeypatch.setattr(simhash, "SPLIT", 1)  # every two texts of a key meet
+    monkeypatch.setattr(simhash, "PIECE", 2)  # every key and class takes several pieces, which meet in the second round
+    monkeypatch.setattr(simhash, "PIECE_TEXTS", 2)
     assert sorted(r.doc_id for r in simhash.keep_dissimilar(df).collect()) == sorted(want)
     kept = simhash.keep_dissimilar(odd)
     assert kept.columns == odd.columns
@@ -390,7 +442,7 @@ def test_pipeline(spark, odd):
         docs = spark.createDataFrame(seen[name], docs.schema)
     assert len(seen["language_id"]) >= 198
     texts = {r.doc_id: r.text for r in seen["line_dedup"]}
-    want = {c for _, _, c in brute_classes([(i, brute_simhash(t)) for i, t in texts.items()])}
+    want = brute_similar(texts)  # the stage's rule: five words and a similarity of 0.8
     assert {r.doc_id for r in seen["simhash_near_dedup"]} == want and len(seen["simhash_near_dedup"]) == len(want)
     assert {r.doc_id for r in seen["mixing"]} <= want
     got = corpus_pipeline.run(spark, DATA).collect()
