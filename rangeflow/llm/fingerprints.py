@@ -13,12 +13,13 @@ from __future__ import annotations
 import base64
 import hashlib
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeflow.llm.common import emit, id_text, rows, shuffle_partitions, table
@@ -112,7 +113,9 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
 def fingerprint(docs: DataFrame) -> DataFrame:
     """``doc_id, n_chars, fingerprint`` of every whole text, without a shuffle.
 
-    A null text counts as empty, whose fingerprint is the empty string.
+    A null text counts as empty, whose fingerprint is the empty string; a very
+    long one is hashed whole, in a few arrays of its length.  Repeated rows and
+    null ids pass through, no rows give none, other columns are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,21 +152,45 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held = None if later else now
 
 
-def _cut_points(keys: DataFrame, n: int) -> list[int]:
-    """At most ``n - 1`` values of ``key`` that split its rows into about equal ranges."""
-    found = keys.approxQuantile("key", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
-    return sorted({int(x) for x in found})
+LOW = -(2**63)
+PLACE = ("key", "print", "salt")  # rows are in this order; the salt tells apart what is alike
 
 
-def _range_of(key, points: list[int]):
-    """Number of cut points up to ``key``, found in two steps of about the square root of their number."""
+def _quantiles(rows_: DataFrame, column: str, n: int, by: str | None = None) -> dict:
+    """About ``n - 1`` values that split the rows, of each ``by``, into equal ranges; a hot value comes several times."""
+    found = F.percentile_approx(column, F.array(*(F.lit(i / n) for i in range(1, n))), F.lit(8 * n)).alias("points")
+    got = rows_.groupBy(by).agg(found).collect() if by else rows_.agg(F.lit(None).alias("all"), found).collect()  # one row a hot value
+    return {r[0]: [min(max(int(x), LOW), -LOW - 1) for x in r.points or ()] for r in got}
+
+
+def _cut_points(keyed: DataFrame, n: int) -> list[tuple[int, int, int]]:
+    """At most about ``n`` places that split the rows into about equal ranges, by key; a hot key is split by print, a hot print by salt."""
+    if n < 2:
+        return []
+    points = Counter(_quantiles(keyed.select("key"), "key", n)[None])
+    out = {(key, LOW, LOW) for key in points}
+    hot = {key: times for key, times in points.items() if times > 1}
+    if hot:
+        of_key = _quantiles(keyed.where(F.col("key").isin(list(hot))), "print", 1 + max(hot.values()), "key")
+        for key, prints in of_key.items():
+            for text_print, times in Counter(prints).items():
+                out.add((key, text_print, LOW))
+                step = 2**64 // (times + 1)
+                out.update((key, text_print, LOW + k * step) for k in range(1, times + 1) if times > 1)
+    return sorted(out)
+
+
+def _range_of(points: list[tuple[int, int, int]]) -> Column:
+    """Number of cut points up to a row's place, found in two steps of about the square root of their number."""
     if not points:
         return F.lit(0)
+    place = F.struct(*PLACE)
+    lit = lambda p: F.struct(*(F.lit(x).cast("long").alias(c) for c, x in zip(PLACE, p)))
     width = max(1, round(len(points) ** 0.5))
     parts = [points[i : i + width] for i in range(0, len(points), width)]
-    coarse = F.size(F.filter(F.array(*map(F.lit, (p[0] for p in parts))), lambda x: x <= key))
-    fine = F.element_at(F.array(*(F.array(*map(F.lit, p)) for p in parts)), F.greatest(coarse, F.lit(1)))
-    return F.greatest(coarse - 1, F.lit(0)) * width + F.size(F.filter(fine, lambda x: x <= key))
+    coarse = F.size(F.filter(F.array(*(lit(p[0]) for p in parts)), lambda x: x <= place))
+    fine = F.element_at(F.array(*(F.array(*map(lit, p)) for p in parts)), F.greatest(coarse, F.lit(1)))
+    return F.greatest(coarse - 1, F.lit(0)) * width + F.size(F.filter(fine, lambda x: x <= place))
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
@@ -173,29 +200,35 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     first as many (or all) of the next document by ``doc_id``; the first follows
     the last.  Rows are dealt by ranges of ``doc_id`` and each range also gets
     the first row of the following one, so no task needs another's rows and the
-    text is shuffled once.  What reaches the driver is one value a range.
+    text is shuffled once.  What reaches the driver is a few values a range.
 
     Null texts count as empty, null ids sort first, rows that share an id sort by
-    text; an empty table gives an empty result; other columns are left out.
+    a hash of the text; a hot id is split by that, and repeated rows in any
+    order.  A very long text is held by one task, with some ten times its
+    bytes.  An empty table gives an empty result; other columns are left out.
     """
     spark, n = docs.sparkSession, 4 * shuffle_partitions(docs.sparkSession)
-    keyed = id_text(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
-    points = _cut_points(keyed.select(F.col("key").cast("double")), n)
-    dealt = keyed.withColumn("bucket", _range_of(F.col("key"), points))
-    firsts = dict(dealt.groupBy("bucket").agg(F.min("key")).collect())  # one row a range
+    keyed = id_text(docs).withColumns({"key": F.coalesce("doc_id", F.lit(LOW)), "print": F.xxhash64("text")})
+    points = _cut_points(keyed, n)
+    # repeated rows are told apart, by their place in the input, only where they are so many that they must be split
+    salted = any(p[2] != LOW for p in points)
+    keyed = keyed.withColumn("salt", F.xxhash64(F.monotonically_increasing_id()) if salted else F.lit(LOW))
+    dealt = keyed.withColumn("bucket", _range_of(points))
+    firsts = {r.bucket: tuple(r.first) for r in dealt.groupBy("bucket").agg(F.min(F.struct(*PLACE)).alias("first")).collect()}  # one row a range
     used = sorted(firsts)
     before = {b: used[i - 1] for i, b in enumerate(used)}
-    first = F.array(*(F.lit(firsts.get(b, 0)).cast("long") for b in range(len(points) + 1)))
+    place = F.struct(*PLACE)
+    first = F.array(*(F.struct(*(F.lit(x).cast("long").alias(c) for c, x in zip(PLACE, firsts.get(b, (0, 0, 0))))) for b in range(len(points) + 1)))
     previous = F.array(*(F.lit(before.get(b, 0)) for b in range(len(points) + 1)))
     at = F.col("bucket") + 1
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("later"))
     also = F.struct(F.element_at(previous, at).alias("bucket"), F.lit(True).alias("later"))
-    to = F.when(F.col("key") == F.element_at(first, at), F.array(own, also)).otherwise(F.array(own))
+    to = F.when(place == F.element_at(first, at), F.array(own, also)).otherwise(F.array(own))
     ordered = (
         dealt.withColumn("to", F.explode(to))
-        .select("to.bucket", "to.later", "doc_id", "text", "key")
+        .select("to.bucket", "to.later", "doc_id", "text", *PLACE)
         .repartition(shuffle_partitions(spark), "bucket")
-        .sortWithinPartitions("bucket", "later", "key", "text")
+        .sortWithinPartitions("bucket", "later", *PLACE)
         .select("bucket", "later", "doc_id", "text")
     )
 

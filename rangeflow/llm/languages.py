@@ -30,7 +30,13 @@ PER_DOCUMENT = 3  # windows of each
 EPOCHS, STEPS, BATCH, RATE = 6, 500, 64, 0.004  # at least so many passes and so many steps
 TOGETHER = 96  # windows that are answered at once
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+MOST_LANGUAGES = 256  # languages that a model may know: those with the most documents
+WORD = re.compile(r"[^\W\d_]+")
+
+
+def has_letter(text: str) -> bool:
+    """Whether some character of the text is a letter; numbers such as one half or a Roman eight are none."""
+    return any(any(map(str.isalpha, m.group())) for m in WORD.finditer(text))
 
 
 def _windows(data: bytes) -> np.ndarray:
@@ -161,7 +167,7 @@ def _predicted(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[tuple
 
     weight = 0
     for doc_id, text in rows(batches):
-        data = text.encode() if text is not None and model["languages"] and LETTER.search(text) else None
+        data = text.encode() if text is not None and model["languages"] and has_letter(text) else None
         held.append((doc_id, data))
         weight += len(data or b"")
         if weight > 1 << 18 or len(held) >= 512:
@@ -173,19 +179,21 @@ def _predicted(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[tuple
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     """A model from ``doc_id, text, lang``; rows without text or language teach nothing.
 
-    All rows are counted by language.  At most about ``per_language`` documents
-    of each, picked by a hash of the id, and three windows of each of those
-    reach the driver, where training takes place.  Without rows the model knows
-    no language and answers ``und``.
+    All rows are counted by language, and the ``MOST_LANGUAGES`` with the most
+    (of equal ones the first by name) are learned.  At most about
+    ``per_language`` documents of each, picked by a hash of the id, and three
+    windows of each of those, however long the texts, reach the driver, where
+    training takes place.  Repeated rows are picked alike; without rows the
+    model knows no language and answers ``und``.
     """
     usable = id_text(labelled, F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null and text <> ''")
-    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    counts = {r.lang: r.n for r in most.collect()}
     languages = sorted(counts)
     if not languages:
         return {"languages": []}
-    share = F.lit(0.0)
-    for lang in languages:
-        share = F.when(F.col("lang") == lang, min(1.0, per_language / counts[lang])).otherwise(share)
+    shares = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / counts[lang]))))
+    share = F.coalesce(F.element_at(shares, F.col("lang")), F.lit(0.0))
     place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,8 +218,10 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """``doc_id, lang_pred, score`` of every whole text; ``und`` with score 0 if it is null or has no letter.
 
-    Only the text counts, so equal texts get equal answers; repeated rows and
-    null ids pass through, other columns are left out.  No shuffle.
+    Only the text counts, so equal texts get equal answers; of languages that
+    are as likely the first by name is taken.  A very long text is answered
+    whole, ``TOGETHER`` windows at a time.  Repeated rows and null ids pass
+    through, no rows give none, other columns are left out.  No shuffle.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, whatever the input
 
@@ -230,7 +240,9 @@ def fold(parts: int):
 def reject_unknown(docs: DataFrame, model: dict, least: float = 0.3) -> DataFrame:
     """The rows, with all columns, whose text has a language of the model at a score of ``least`` or more.
 
-    Texts without letters and null texts go.
+    Texts without letters and null texts go; repeated rows and ties are treated
+    alike, null ids pass through, no rows give none, very long texts are
+    answered whole.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -22,6 +22,7 @@ from rangeflow.llm.common import emit, id_text, rows, table
 SIGNATURE = bytes([137, 80, 78, 71, 13, 10, 26, 10])
 ROW = 192  # bytes of a row: 64 pixels of three samples
 LEVEL = 4
+TALL = 1024  # rows that are shrunk at once
 #: Samples of a pixel by the format's colour type, at 8 bits.
 SAMPLES = {0: 1, 2: 3, 4: 2, 6: 4}
 
@@ -124,25 +125,37 @@ def read_png(data: bytes) -> np.ndarray:
     if head is None or head[2] != 8 or head[3] not in SAMPLES or any(head[4:]):
         raise MediaError("not a plain 8-bit file without interlacing")
     width, height, depth = head[0], head[1], SAMPLES[head[3]]
+    size, inflate = height * (width * depth + 1), zlib.decompressobj()
     try:
-        raw = zlib.decompress(b"".join(body))
+        raw = inflate.decompress(b"".join(body), size + 1)  # never more than the head says
     except zlib.error as e:
         raise MediaError(str(e)) from e
-    if len(raw) != height * (width * depth + 1):
+    if len(raw) != size or not inflate.eof:
         raise MediaError("wrong number of samples")
     lines = np.frombuffer(raw, dtype=np.uint8).reshape(height, width * depth + 1)
     return _unfilter(lines[:, 0], lines[:, 1:], depth).reshape(height, width, depth)
 
 
-@lru_cache(maxsize=512)
-def _shrink(size: int, to: int) -> np.ndarray:
-    """A matrix that averages ``size`` samples into ``to`` cells, parts of samples included."""
+def _share(size: int, to: int, lo: int, hi: int) -> np.ndarray:
+    """What the samples from ``lo`` to ``hi`` of ``size`` add to each of ``to`` cells, parts of samples included."""
     edges = np.linspace(0, size, to + 1)
-    at = np.arange(size)
+    at = np.arange(lo, hi)
     share = np.minimum(edges[1:, None], at + 1) - np.maximum(edges[:-1, None], at)
     return (np.clip(share, 0, None) / (size / to)).astype(np.float32)
 
 
+_kept_share = lru_cache(maxsize=256)(_share)  # of at most TALL samples: 128 KB each
+
+
+def _shrink(grey: np.ndarray, to: int) -> np.ndarray:
+    """The rows averaged into ``to``, some at a time."""
+    height, out = len(grey), np.zeros((to, grey.shape[1]), dtype=np.float32)
+    for lo in range(0, height, TALL):
+        hi = min(height, lo + TALL)
+        out += (_kept_share if height <= TALL else _share)(height, to, lo, hi) @ grey[lo:hi]
+    return out
+
+
 @lru_cache(maxsize=4)
 def _cosines(n: int, keep: int) -> np.ndarray:
     k, x = np.arange(keep)[:, None], np.arange(n)[None, :]
@@ -151,8 +164,7 @@ def _cosines(n: int, keep: int) -> np.ndarray:
 
 def cosine_hash(samples: np.ndarray, grid: int = 32, keep: int = 8) -> str:
     """16 hexadecimal digits: which of the lowest 8 x 8 cosine coefficients of the shrunk grey image exceed their median."""
-    grey = samples.mean(axis=2, dtype=np.float32)
-    small = _shrink(grey.shape[0], grid) @ grey @ _shrink(grey.shape[1], grid).T
+    small = _shrink(_shrink(samples.mean(axis=2, dtype=np.float32), grid).T, grid).T
     low = (_cosines(grid, keep) @ small @ _cosines(grid, keep).T).ravel()
     return np.packbits(low > np.median(low[1:])).tobytes().hex()
 
@@ -168,7 +180,9 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """``doc_id``, the text's PNG in the binary column ``media`` and ``n_bytes`` of every document.
 
     A null text counts as empty and gives one row of spaces; equal texts give
-    equal files; other columns are left out.  No shuffle.
+    equal files; a very long text is one tall picture, made in a few arrays of
+    its length.  Repeated rows and null ids pass through, no rows give none,
+    other columns are left out.  No shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +196,8 @@ def media_columns(docs: DataFrame) -> DataFrame:
 def read_media(media: DataFrame) -> DataFrame:
     """Reads the column ``media`` back: digests of the samples and of the file, and the hash of its low frequencies.
 
-    A null file is no document's and raises; damage raises rather than passing on.
+    A null file is no document's and raises; damage raises rather than passing
+    on; equal files give equal answers, no rows give none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -63,7 +63,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total:
     Two columns are added, under names that do not clash: ``copy`` counts a
     document's copies from 1, ``shuffle_key`` is what the order follows.  Rows
     that share an id draw the same number; a null id draws as the text "null".
-    A document may draw zero copies; that is the method.  No rows give no rows.
+    A document may draw zero copies; that is the method.  No rows give no rows,
+    and a very long text is only carried along.
     """
     rate, parts, sums, copies, copy, key, source, number = fresh(docs, "rate", "parts", "sums", "copies", "copy", "shuffle_key", "rate_source", "rate_n")
     found = rates(docs, weights, total, by).where("rate > 0").toDF(source, number, rate)
@@ -71,8 +72,9 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total:
     found = cut(found.select(source, parts, cumulative(F.col(rate) / F.col(parts)).alias(sums)))
     if found.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         found = F.broadcast(found)
-    draw = lambda j: F.size(F.filter(F.col(sums), lambda p: p <= uniform(F.lit(seed), F.col("doc_id"), j)))
-    one = F.when(F.col(parts) == 1, draw(F.lit(1))).otherwise(F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda acc, j: acc + draw(j)))
+    # each draw is made once, then found among the sums
+    draws = F.transform(F.sequence(F.lit(1), F.col(parts)), lambda j: uniform(F.lit(seed), F.col("doc_id"), j))
+    one = F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter(F.col(sums), lambda p: p <= u)))
     drawn = docs.join(found, docs[by].eqNullSafe(F.col(source))).withColumn(copies, one).where(F.col(copies) > 0)
     each = drawn.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(rate, parts, sums, copies, source)
     each = each.withColumn(key, F.xxhash64(F.lit(seed), "doc_id", copy))

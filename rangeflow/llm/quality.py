@@ -124,8 +124,10 @@ class BoostedTrees:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> BoostedTrees:
     """Trees from at most about ``sample`` labelled documents, picked by a hash of the id.
 
-    Null labels teach nothing; of several labels of a document the mean counts.
-    Only the statistics of the sampled texts reach the driver.
+    Null labels teach nothing; of several labels of a document the mean counts,
+    and one half is label 1.  Of splits with equal gains the first statistic and
+    then the lowest bound is taken.  No labels give a score of one half.  Only
+    the statistics of the sampled texts reach the driver.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y"))
     n = known.count()
@@ -145,8 +147,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> BoostedTr
 def score(docs: DataFrame, model: BoostedTrees) -> DataFrame:
     """``doc_id, score`` of every whole text, from 0 to 1; a null text counts as empty.
 
-    Only the text counts; repeated rows and null ids pass through, other columns
-    are left out.  No shuffle.
+    Only the text counts, so equal texts have equal scores; a very long text is
+    counted whole, in a few lists of its words.  Repeated rows and null ids pass
+    through, no rows give none, other columns are left out.  No shuffle.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

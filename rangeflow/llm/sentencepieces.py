@@ -262,8 +262,10 @@ def encode(docs: DataFrame, model_path: str, with_ids: bool = True) -> DataFrame
     """Ids of every whole text with an end id, their digest, and the digest of the text decoded from them.
 
     The model is read on the driver and sent along, so executors need no file.
-    A null or empty text has only the end id.  Rows are independent: repeated
-    rows and ids stay, null ids pass through, other columns are left out.  No shuffle.
+    A null or empty text has only the end id; a very long one is encoded stretch
+    by stretch and its ids are held whole.  Rows are independent: repeated rows
+    and ids stay, null ids pass through, no rows give none, other columns are
+    left out.  No shuffle.
     """
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())

@@ -414,15 +414,47 @@ def test_a_hot_text_is_split(spark):
     assert max(r.b for r in sizes) - min(r.b for r in sizes) < 0.02 * max(r.b for r in sizes)
 
 
-def test_only_affected_shards_are_rewritten(spark, tmp_path):
-    docs = spark.createDataFrame([(k, "x" * 10) for k in range(40)], "doc_id long, text string")
-    placed = docs.select("doc_id", F.pmod("doc_id", F.lit(4)).cast("int").alias("old_shard"), F.when(F.col("doc_id") == 0, 1).otherwise(F.pmod("doc_id", F.lit(4))).cast("int").alias("shard"))
+def test_equal_texts_stay_together_beside_heavy_ones(spark):
+    rows = [(k, f"text {k // 4} " * 20) for k in range(400)] + [(1000 + k, "heavy " * (3000 + k)) for k in range(12)]
+    got = sharding.reshard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    where = defaultdict(set)
+    for r in got:
+        where[r.text_crc32].add(r.shard)
+    assert all(len(x) == 1 for x in where.values())
+
+
+def test_rows_in_no_shard_and_repeated_rows(spark):
+    rows = [(None if k % 9 == 0 else k // 3, f"t{k % 50}", None if k % 5 == 0 else k % 3) for k in range(300)] + [(7, "same", 1)] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, at int")
+    got = sharding.reshard(df, 4, F.col("at")).collect()
+    assert sorted(map(str, (r.doc_id for r in got))) == sorted(str(r[0]) for r in rows)
+    slots = defaultdict(set)
+    for r in got:
+        slots[r.shard].add(r.slot)
+    assert sum(map(len, slots.values())) == 600 and all(s == set(range(len(s))) for s in slots.values())
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+    assert max(sizes.values()) < 1.1 * min(sizes.values())
+
+
+def test_only_affected_shards_are_rewritten(spark, tmp_path, monkeypatch):
+    rows = [(None if k % 10 == 1 else k // 2, f"{k:05d}" * 3, "extra") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard_ string")
     path = str(tmp_path / "shards")
-    docs.join(placed, "doc_id").select("doc_id", "text", F.col("old_shard").alias("shard")).write.partitionBy("shard").parquet(path)
-    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "shards").glob("shard=[23]/*.parquet")}
-    assert sharding.rewrite_affected(docs, placed, path) == [0, 1]
-    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "shards").glob("shard=[23]/*.parquet")} == before
-    assert {r.shard: r["count"] for r in spark.read.parquet(path).groupBy("shard").count().collect()} == {0: 9, 1: 11, 2: 10, 3: 10}
+    number = F.substring("text", 1, 5).cast("int")
+    sharding.write_shards(df, F.when(number < 200, 0).when(number < 300, 1).otherwise(number % 2 + 2), path)  # 200, 100, 50, 50
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "shards").glob("shard=*/*.parquet")}
+    before = files()
+    placement = sharding.reshard_files(spark, path, 4)
+    assert placement.affected() == [0, 2, 3]
+    assert {p: t for p, t in files().items() if "shard=1" in str(p)} == {p: t for p, t in before.items() if "shard=1" in str(p)}
+    after = spark.read.parquet(path).collect()
+    assert sorted(map(str, ((r.doc_id, r.text, r.shard_) for r in after))) == sorted(map(str, rows))
+    assert max(Counter(r.shard for r in after).values()) <= 110
+    sharding.reshard_files(spark, path, 2)  # two shards are emptied, and their folders go
+    assert {p.name for p in (tmp_path / "shards").glob("shard=*")} == {"shard=0", "shard=1"}
+    assert spark.read.parquet(path).count() == 400
 
 
 # ---- pipeline

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from rangeflow.llm import fingerprints, languages, media, quality, sentencepieces
@@ -56,7 +57,11 @@ def test_chunks_resist_shifts():
 
 
 def brute_compare(rows):
-    order = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], r[1] or ""))
+    def place(r):
+        h = 42 if r[1] is None else xxhash.xxh64_intdigest(r[1].encode(), 42)
+        return -(2**63) if r[0] is None else r[0], h - (h >> 63 << 64)
+
+    order = sorted(rows, key=place)
     for k, (i, text) in enumerate(order):
         text, other = text or "", order[(k + 1) % len(order)][1] or ""
         n = len(text) // 4
@@ -76,6 +81,20 @@ def test_compare_with_next_by_brute_force(spark, odd):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, brute_compare(some)))
 
 
+def test_hot_and_large_ids(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    rows = [(i, word(60)) for i in (2**63 - 1, 2**63 - 2, -(2**63), -(2**63) + 1, 2**62 + 1, 2**62 + 2, 0)]
+    rows += [(77, word(90)) for _ in range(120)] + [(None, word(50)) for _ in range(60)] + [(k, word(40)) for k in range(40)]
+    got = fingerprints.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, brute_compare(rows)))
+    rows += [(78, "one text " * 9)] * 150  # repeated rows are split too
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).cache()
+    assert sorted(map(str, map(tuple, fingerprints.compare_with_next(df).collect()))) == sorted(map(str, brute_compare(rows)))
+    points = fingerprints._cut_points(df.withColumns({"key": F.coalesce("doc_id", F.lit(fingerprints.LOW)), "print": F.xxhash64("text")}), 32)
+    assert any(p[2] != fingerprints.LOW for p in points) and sum(p[0] == 77 for p in points) > 3
+
+
 def test_fingerprints_of_little(spark, odd):
     assert fingerprints.compare_with_next(odd.limit(0)).count() == 0
     alone = fingerprints.compare_with_next(odd.where("doc_id = 1")).first()
@@ -136,6 +155,43 @@ def test_media_columns(spark, odd):
     assert media.read_media(media.media_columns(odd.limit(0))).count() == 0
 
 
+def brute_cosines(data: bytes) -> np.ndarray:
+    """By the definitions: every cell is the mean over its area, every coefficient a sum over all cells."""
+    grey = [[sum(data[192 * y + 3 * x : 192 * y + 3 * x + 3]) / 3 for x in range(64)] for y in range(len(data) // 192)]
+    h = len(grey)
+
+    def parts(size, cell):
+        lo, hi = cell * size / 32, (cell + 1) * size / 32
+        return [(i, min(hi, i + 1) - max(lo, i)) for i in range(int(lo), min(size, int(np.ceil(hi)))) if min(hi, i + 1) > max(lo, i)]
+
+    cells = [[sum(grey[y][x] * a * b for y, a in parts(h, v) for x, b in parts(64, u)) / (h / 32 * 2) for u in range(32)] for v in range(32)]
+    cosine = lambda k, x: np.cos(np.pi * k * (2 * x + 1) / 64)
+    low = [sum(cells[y][x] * cosine(j, y) * cosine(k, x) for y in range(32) for x in range(32)) for j in range(8) for k in range(8)]
+    return np.array(low) - np.median(low[1:])
+
+
+def test_the_hash_by_its_definition(monkeypatch):
+    rng = random.Random(6)
+    for n in (0, 150, 900, 12_000, 40_000):
+        text = "".join(rng.choice("abc defg\né") for _ in range(n))
+        size, samples = media.to_samples(text)
+        want = brute_cosines(samples.tobytes())
+        clear = np.abs(want) > 0.05  # nearer to the median, the rounding of single floats decides
+        assert n < 900 or clear.sum() > 50
+        for tall in (1024, 7):
+            monkeypatch.setattr(media, "TALL", tall)
+            bits = np.unpackbits(np.frombuffer(bytes.fromhex(media.cosine_hash(samples)), dtype=np.uint8))
+            assert np.array_equal(bits[clear], (want > 0)[clear])
+
+
+def test_a_file_never_inflates_beyond_its_head():
+    import struct
+
+    bomb = media.SIGNATURE + media._chunk(b"IHDR", struct.pack(">IIBBBBB", 4, 1, 8, 0, 0, 0, 0)) + media._chunk(b"IDAT", zlib.compress(bytes(10**7))) + media._chunk(b"IEND", b"")
+    with pytest.raises(media.MediaError):
+        media.read_png(bomb)
+
+
 def test_the_hash_follows_low_frequencies():
     _, x = media.to_samples("the quick brown fox " * 400)
     a = int(media.cosine_hash(x), 16)
@@ -245,6 +301,8 @@ def test_odd_languages(spark, odd, model):
     got = languages.predict(odd, model).collect()
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
     assert {r.doc_id for r in got if r.lang_pred == "und"} >= {2, 3}
+    signs = spark.createDataFrame([(1, "½ ² Ⅷ ٣ 12_3 !?"), (2, "½ a"), (3, "字"), (4, "\u0301")], "doc_id long, text string")
+    assert {r.doc_id for r in languages.predict(signs, model).collect() if r.lang_pred == "und"} == {1, 4}
     assert languages.predict(odd.limit(0), model).count() == 0
     none = languages.train(odd.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in languages.predict(odd, none).collect()} == {"und"}
@@ -253,6 +311,13 @@ def test_odd_languages(spark, odd, model):
     assert languages.reject_unknown(odd.limit(0), model).count() == 0
 
 
+def test_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(languages, "MOST_LANGUAGES", 2)
+    monkeypatch.setattr(languages, "STEPS", 5)
+    rows = [(k, f"some text {k}", lang) for k, lang in enumerate("aaabbbcdefg")]
+    assert languages.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["languages"] == ["a", "b"]
+
+
 # ---- quality
 
 
