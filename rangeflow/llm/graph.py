@@ -25,8 +25,8 @@ def components(links: DataFrame) -> DataFrame:
         place = lambda c: F.struct(F.xxhash64(c, F.lit(len(rounds))).alias("at"), F.col(c).alias("to"))
         both = left.select("a", "b").union(left.select("b", "a"))
         step = both.groupBy("a").agg(F.min(place("b")).alias("first")).select(F.col("a").alias("node"), F.least(place("a"), F.col("first"))["to"].alias("to"))
+        step = cut(step)
         for _ in range(2):
-            step = cut(step)
             step = step.join(step.select(F.col("node").alias("to"), F.col("to").alias("further")), "to").select("node", F.col("further").alias("to"))
         step = cut(step)
         rounds.append(step)

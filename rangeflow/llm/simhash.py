@@ -401,14 +401,15 @@ def _pieced(rows_: DataFrame, key: str, pieces: Column, join: Callable[[DataFram
     """
     rows_ = cut(rows_)
     sums = rows_.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where("n > 1")
-    rows_ = rows_.join(cut(sums.select(key, pieces.alias("pieces"))), key)  # both sides written out, so that AQE can split a hot key
+    sums = cut(sums.select(key, pieces.alias("pieces")))
+    rows_ = rows_.join(sums, key)  # both sides written out, so that AQE can split a hot key
     own = F.pmod(F.xxhash64("print", key), F.col("pieces")).cast("long")
     zero = F.lit(0).cast("long")
-    links = cut(join(rows_.select("*", zero.alias("kind"), own.alias("low"), own.alias("high"), F.col("print").alias("known"))))
-    large = rows_.where("pieces > 1")
-    if large.isEmpty():
+    links = join(rows_.select("*", zero.alias("kind"), own.alias("low"), own.alias("high"), F.col("print").alias("known")))
+    if sums.where("pieces > 1").isEmpty():
         return links
-    named = cut(large.drop("pieces").join(components(links).withColumnRenamed("node", "print"), "print", "left").withColumn("known", F.coalesce("root", "print")).drop("root"))
+    links = cut(links)
+    named = cut(rows_.where("pieces > 1").drop("pieces").join(components(links).withColumnRenamed("node", "print"), "print", "left").withColumn("known", F.coalesce("root", "print")).drop("root"))
     by_class = named.groupBy(key, "known").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     top = F.max(F.struct("n", "bytes", "known"))
     split = by_class.groupBy(key).agg(top.alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("found")).where("found > 1")
@@ -464,7 +465,6 @@ def keep_dissimilar(docs: DataFrame, words: int = 5, least: float = 0.8, budget:
     shared = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
     members = keyed.join(shared, "key").join(texts.select("print", *WIDE_NAMES), "print").withColumn("size", F.lit(0).cast("long"))
     candidates = components(_pieced(members, "key", F.ceil(F.col("n") / PIECE), tries)).select(F.col("node").alias("print"), F.col("root").alias("class"))
-    candidates = cut(candidates)
     wanted = texts.join(candidates, "print").select(some_id("doc_id").alias("doc_id"), "print", "class")
     given = id_text(docs, F.xxhash64(F.col("text").cast("string")).alias("print")).withColumn("doc_id", some_id("doc_id"))
     held = given.join(cut(wanted), ["doc_id", "print"]).groupBy("print", "class").agg(F.first("text").alias("text"))
