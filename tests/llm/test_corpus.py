@@ -295,16 +295,17 @@ def test_trie_join_in_small_steps(monkeypatch):
     assert all(parent[i] == parent[j] for i, j in zip(*np.nonzero(near)))
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("few", [0, 30, 1 << 16])
+def test_components_of_chains_and_stars(spark, few):
     rng = random.Random(8)
     links = [(k, k + 1) for k in range(100, 160)] + [(999, k) for k in range(200, 240)] + [(5, 5), (7, 8), (7, 8)] + [(10**6 - k, 10**6 - k - 1) for k in range(40)]
     rng.shuffle(links)
-    found = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    found = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long"), few).collect()}
     groups = defaultdict(set)
     for node, root in found.items():
         groups[root].add(node)
     assert sorted(map(sorted, groups.values())) == sorted([list(range(100, 161)), [*range(200, 240), 999], [7, 8], list(range(10**6 - 40, 10**6 + 1))])
-    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert graph.components(spark.createDataFrame([], "a long, b long"), few).count() == 0
 
 
 def test_one_of_each_class_stays(spark, odd):
