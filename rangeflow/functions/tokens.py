@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -64,10 +65,51 @@ def murmur3_token(data: bytes) -> int:
     return MAX_TOKEN if token == MIN_TOKEN else token
 
 
+def _turned(x: np.ndarray, r: int) -> np.ndarray:
+    return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+
+
+def murmur3_tokens(keys: list[bytes]) -> np.ndarray:
+    """The ring tokens of many keys; those of one length are computed together, a block of 16 bytes at a time."""
+    sizes, out = np.fromiter(map(len, keys), dtype=np.int64, count=len(keys)), np.zeros(len(keys), dtype=np.int64)
+    c1, c2 = np.uint64(0x87C37B91114253D5), np.uint64(0x4CF5AD432745937F)
+    for size in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == size)
+        data = np.frombuffer(b"".join(keys[i] for i in own.tolist()), dtype=np.uint8).reshape(len(own), size)
+        whole, rest = size // 16, size % 16
+        blocks = np.ascontiguousarray(data[:, : 16 * whole]).view("<u8") if whole else np.zeros((len(own), 0), dtype=np.uint64)
+        h1, h2 = np.zeros(len(own), dtype=np.uint64), np.zeros(len(own), dtype=np.uint64)
+        for i in range(whole):
+            h1 ^= _turned(blocks[:, 2 * i] * c1, 31) * c2
+            h1 = (_turned(h1, 27) + h2) * np.uint64(5) + np.uint64(0x52DCE729)
+            h2 ^= _turned(blocks[:, 2 * i + 1] * c2, 33) * c1
+            h2 = (_turned(h2, 31) + h1) * np.uint64(5) + np.uint64(0x38495AB5)
+        tail = data[:, 16 * whole :].view(np.int8).astype(np.int64).view(np.uint64)  # sign-extended
+        ks = [np.zeros(len(own), dtype=np.uint64), np.zeros(len(own), dtype=np.uint64)]
+        for i in range(rest):
+            ks[i // 8] ^= tail[:, i] << np.uint64(8 * (i % 8))
+        if rest > 8:
+            h2 ^= _turned(ks[1] * c2, 33) * c1
+        if rest:
+            h1 ^= _turned(ks[0] * c1, 31) * c2
+        h1, h2 = h1 ^ np.uint64(size), h2 ^ np.uint64(size)
+        h1 = h1 + h2
+        h2 = h2 + h1
+        for by in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h1, h2 = ((x ^ (x >> np.uint64(33))) * np.uint64(by) for x in (h1, h2))
+        h1, h2 = (x ^ (x >> np.uint64(33)) for x in (h1, h2))
+        out[own] = (h1 + h2).view(np.int64)
+    out[out == MIN_TOKEN] = MAX_TOKEN
+    return out
+
+
 @F.pandas_udf(T.LongType())
 def ring_token(key: pd.Series) -> pd.Series:
     """The ring token of a binary column; null for null."""
-    return key.map(lambda x: None if x is None else murmur3_token(bytes(x))).astype("Int64")
+    out, known = pd.Series(pd.NA, index=key.index, dtype="Int64"), key.notna()
+    if known.any():
+        out[known] = murmur3_tokens([bytes(x) for x in key[known]])
+    return out
 
 
 def key_bytes(*parts: Column) -> Column:

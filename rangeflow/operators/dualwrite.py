@@ -25,8 +25,8 @@ def typed(text: Column, kind: CqlType) -> tuple[Column, Column]:
 
     Integers must be whole and in the type's range, booleans ``true`` or
     ``false``, uuids in canonical form; blobs are hexadecimal digits or else the
-    text's bytes.  Collections come as JSON arrays and objects; their null
-    elements are dropped.
+    text's bytes.  Collections come as JSON arrays and objects; null elements of
+    lists and sets are dropped, null values of maps refused.
     """
     head = kind.inner.head
     bad = lambda value: F.when(text.isNotNull() & value.isNull(), F.lit(f"not a {head}"))
@@ -51,7 +51,9 @@ def typed(text: Column, kind: CqlType) -> tuple[Column, Column]:
         found = F.filter(F.from_json(text, T.ArrayType(kind.inner.args[0].spark())), lambda x: x.isNotNull())
         value = F.array_sort(F.array_distinct(found)) if head == "set" else found
     elif head == "map":
-        value = F.from_json(text, kind.inner.spark())
+        found = F.from_json(text, kind.inner.spark())
+        empty = F.exists(F.map_values(found), lambda x: x.isNull())  # an entry needs a value
+        return F.when(~empty, found), F.when(text.isNotNull() & found.isNull(), F.lit(f"not a {head}")).when(empty, F.lit("null value in a map"))
     else:
         return F.lit(None).cast(kind.inner.spark()), F.when(text.isNotNull(), F.lit(f"no JSON form for {head}"))
     return value, bad(value)

@@ -17,7 +17,7 @@ def last_write_wins(versions: DataFrame, keys: list[str], order: list[str]) -> D
     a key with very many versions costs no task more than any other.
     """
     rest = [c for c in versions.columns if c not in keys]
-    last = F.max(F.struct(*order, *(c for c in rest if c not in order))).alias("_last")
+    last = F.max_by(F.struct(*(F.col(f"`{c}`") for c in rest)), F.struct(*order)).alias("_last")  # what is carried need have no order
     found = versions.groupBy(*keys).agg(last)
     return found.select(*(c if c in keys else F.col(f"_last.{c}").alias(c) for c in versions.columns))
 
@@ -37,7 +37,7 @@ def merge_cells(cells: DataFrame, keys: list[str], names: list[str]) -> DataFram
         return won.alias(f"_{name}")
 
     found = cells.groupBy(*keys).agg(*map(best, names))
-    return found.select(*keys, *(c for n in names for c in (F.col(f"_{n}.value").alias(n), F.col(f"_{n}.writetime").alias(f"_wt_{n}"))))
+    return found.select(*keys, *(c for n in names for c in (F.col(f"`_{n}`")["value"].alias(n), F.col(f"`_{n}`")["writetime"].alias(f"_wt_{n}"))))
 
 
 def merge_counters(deltas: DataFrame, schema: TableSchema) -> DataFrame:
@@ -103,3 +103,10 @@ def rebuild_maps(elements: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, column, entries``: the winner of each element by write time, entries sorted; a row's collection is one cell."""
     won = elements.groupBy(*keys, "column", "element").agg(F.max_by("value", F.struct("writetime", F.coalesce("value", F.lit("")))).alias("value"))
     return won.groupBy(*keys, "column").agg(F.array_sort(F.collect_list(F.struct("element", "value"))).alias("entries"))
+
+
+def rebuild_sets(elements: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, column, entries``: the elements of each set, sorted; one that a later write removed (``deleted``) is left out."""
+    gone = F.col("deleted") if "deleted" in elements.columns else F.lit(False)
+    won = elements.groupBy(*keys, "column", "element").agg(F.max(F.struct("writetime", gone.alias("gone"))).alias("k"))
+    return won.groupBy(*keys, "column").agg(F.array_sort(F.collect_list(F.when(~F.col("k.gone"), F.col("element")))).alias("entries"))

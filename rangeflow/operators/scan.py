@@ -40,16 +40,30 @@ def assign_even(df: DataFrame, parent: TokenRange, units: int, token: str = "_to
     return df.withColumn(name, unit_of(token, (parent.start, parent.end), units))
 
 
+def _unit_among(spans: list, token: Column) -> Column:
+    """The unit of the span that holds the token, found in two steps of about the square root of their number; null outside."""
+    if not spans:
+        return F.lit(None).cast("int")
+    width = max(1, round(len(spans) ** 0.5))
+    parts = [spans[i : i + width] for i in range(0, len(spans), width)]
+    coarse = F.size(F.filter(F.lit([p[0].token_start for p in parts]), lambda x: x < token))
+    entry = F.array(*(F.array(*(F.struct(F.lit(r.token_start).cast("bigint").alias("lo"), F.lit(r.token_end).cast("bigint").alias("hi"), F.lit(r.unit).cast("int").alias("unit")) for r in p)) for p in parts))
+    own = F.filter(F.element_at(entry, F.greatest(coarse, F.lit(1))), lambda x: (x["lo"] < token) & (token <= x["hi"]))
+    return F.when(F.size(own) > 0, own[0]["unit"])
+
+
 def assign_ranges(df: DataFrame, ranges: DataFrame, token: str = "_tok") -> DataFrame:
     """Adds ``unit`` of the range that holds the token, for plans of any shape.
 
-    Ranges neither overlap nor leave gaps; tokens beyond all of them get null.  The plan is one row a unit; past the size that may be
-    broadcast, ranges and rows meet in coarse cells of the token's upper bits.
+    Ranges do not overlap; tokens outside all of them get null.  The plan is one
+    row a unit and becomes a sorted array in the expression; past the size for
+    that, ranges and rows meet in coarse cells of the token's upper bits.
     """
     spans = ranges.select("unit", "token_start", "token_end")
     inside = (F.col(token) > F.col("token_start")) & (F.col(token) <= F.col("token_end"))
-    if spans.limit(MAX_BROADCAST_RANGES + 1).count() <= MAX_BROADCAST_RANGES:
-        return df.join(F.broadcast(spans), inside, "left").drop("token_start", "token_end")
+    few = spans.orderBy("token_start").limit(MAX_BROADCAST_RANGES + 1).collect()  # a plan's rows, up to the limit
+    if len(few) <= MAX_BROADCAST_RANGES:
+        return df.withColumn("unit", _unit_among(few, F.col(token)))
     bits = 44  # cells of 2^44 tokens: about a million over the full ring
     cells = spans.withColumn("_cell", F.explode(F.sequence(F.shiftright("token_start", bits), F.shiftright("token_end", bits))))
     near = df.withColumn("_cell", F.shiftright(token, bits)).join(cells, "_cell")
@@ -98,10 +112,28 @@ def unit_sizes(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.withColumn("_bytes", row_bytes(df, columns)).groupBy("unit").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("_bytes").alias("n_bytes"))
 
 
+CELL_BITS = 44  # a unit is numbered in cells of so many lower bits of the token: about a million over the ring
+
+
+def _numbered(df: DataFrame, group: str, order: list[str], weight: Column) -> DataFrame:
+    """Adds ``_before``: the weight of all rows of the group that come before, by ``order``, which begins with the token.
+
+    Cells of the token's upper bits are numbered each by itself, and the sums of
+    the cells before are added; no task needs a whole group.  Only the rows of
+    one token are in one place by need.
+    """
+    cell = df.withColumn("_cell", F.shiftright(F.col(order[0]).cast("bigint"), CELL_BITS)).withColumn("_weight", weight.cast("bigint"))
+    sums = cell.groupBy(group, "_cell").agg(F.sum("_weight").alias("_sum"))
+    before = lambda w: F.coalesce(F.sum(w[0]).over(Window.partitionBy(*w[1]).orderBy(*w[2]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select(F.col(group).alias("_group"), F.col("_cell").alias("_at"), before(("_sum", [group], ["_cell"])).alias("_offset"))
+    inner = cell.withColumn("_inner", before(("_weight", [group, "_cell"], order)))
+    found = inner.join(offsets, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_cell") == F.col("_at")))
+    return found.withColumn("_before", F.col("_inner") + F.col("_offset")).drop("_cell", "_weight", "_group", "_at", "_offset", "_inner")
+
+
 def in_chunks(df: DataFrame, group: str, order: list[str], rows: int) -> DataFrame:
-    """Adds ``chunk``: write batches of ``rows`` rows within each unit, in order."""
-    nth = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn("chunk", F.floor((nth - 1) / F.lit(rows)).cast("int"))
+    """Adds ``chunk``: write batches of ``rows`` rows within each unit, in order; ``order`` begins with the token."""
+    return _numbered(df, group, order, F.lit(1)).withColumn("chunk", F.floor(F.col("_before") / F.lit(rows)).cast("int")).drop("_before")
 
 
 def in_sized_chunks(df: DataFrame, group: str, order: list[str], most: int, size: str = "_bytes") -> DataFrame:
@@ -110,8 +142,7 @@ def in_sized_chunks(df: DataFrame, group: str, order: list[str], most: int, size
     A batch so holds at most ``most`` bytes and one row more; no batch needs to
     be split when it is written.
     """
-    before = F.coalesce(F.sum(size).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("chunk", F.floor(before / F.lit(most)).cast("int"))
+    return _numbered(df, group, order, F.col(size)).withColumn("chunk", F.floor(F.col("_before") / F.lit(most)).cast("int")).drop("_before")
 
 
 def schema_frame(spark: SparkSession, schema: TableSchema) -> DataFrame:

@@ -9,8 +9,6 @@ where their rows sorted by key would.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,22 +22,39 @@ class ValidationError(RuntimeError):
     pass
 
 
+def _number_text(x: Column) -> Column:
+    """A floating number by its exact significand and power of two, so that every engine says the same of the same bits; one NaN, one zero."""
+    size = F.abs(x)
+    guess = F.floor(F.log2(size)).cast("int")
+    part = size / F.pow(F.lit(2.0), guess)  # exact, for the divisor is a power of two
+    power = guess + F.when(part >= 2, 1).when(part < 1, -1).otherwise(0)
+    whole = size / F.pow(F.lit(2.0), power) * F.lit(float(2**52))
+    text = F.concat(F.when(x < 0, "-").otherwise(""), whole.cast("bigint").cast("string"), F.lit("p"), power.cast("string"))
+    return F.when(F.isnan(x), "nan").when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).when(x == 0, "0").otherwise(text)
+
+
 def cell_text(cell: Column, kind: T.DataType) -> Column:
-    """A cell as text that is the same in every engine."""
+    """A cell as text that is the same in every engine and differs where the values do; null for null.
+
+    What a collection holds is framed like a cell, with the number of elements
+    before it; a map's entries come in order of their keys' text.
+    """
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return cell.cast("decimal(18,2)").cast("string")
+        return F.when(cell.isNotNull(), _number_text(cell.cast("double")))
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(cell.cast("timestamp")).cast("string")
     if isinstance(kind, T.BinaryType):
         return F.lower(F.hex(cell))
     if isinstance(kind, T.ArrayType):
-        return F.concat(F.lit("["), F.array_join(F.transform(cell, lambda x: F.coalesce(cell_text(x, kind.elementType), F.lit("N"))), ","), F.lit("]"))
-    if isinstance(kind, T.MapType):
-        entries = F.array_sort(F.map_entries(cell))
-        return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(cell_text(e["key"], kind.keyType), F.lit("="), F.coalesce(cell_text(e["value"], kind.valueType), F.lit("N")))), ","), F.lit("}"))
-    if isinstance(kind, T.StructType):
-        return F.concat(F.lit("("), F.concat_ws(",", *(F.coalesce(cell_text(cell[f.name], f.dataType), F.lit("N")) for f in kind.fields)), F.lit(")"))
-    return cell.cast("string")
+        parts = F.transform(cell, lambda x: framed(cell_text(x, kind.elementType)))
+    elif isinstance(kind, T.MapType):
+        entry = lambda e: F.struct(framed(cell_text(e["key"], kind.keyType)).alias("k"), framed(cell_text(e["value"], kind.valueType)).alias("v"))
+        parts = F.transform(F.array_sort(F.transform(F.map_entries(cell), entry)), lambda e: F.concat(e["k"], e["v"]))
+    elif isinstance(kind, T.StructType):
+        return F.when(cell.isNotNull(), F.concat(F.lit(f"{len(kind.fields)};"), *(framed(cell_text(cell[f.name], f.dataType)) for f in kind.fields)))
+    else:
+        return cell.cast("string")
+    return F.when(cell.isNotNull(), F.concat(F.size(cell).cast("string"), F.lit(";"), F.array_join(parts, "")))
 
 
 def framed(text: Column) -> Column:
@@ -103,34 +118,42 @@ def sample(rows: DataFrame, order: list[str], n: int = SAMPLE_ROWS) -> DataFrame
 
 
 def within_tolerance(source: DataFrame, target: DataFrame, keys: list[str], writetime: str = "_writetime", ttl: str = "_ttl", most_us: int = TOLERANCE_US, most_s: int = 60) -> DataFrame:
-    """Rows of both sides by key, and whether their write times and lifetimes are near enough; a null equals only null."""
-    both = source.select(*keys, F.col(writetime).alias("source_wt"), F.col(ttl).alias("source_ttl")).join(target.select(*keys, F.col(writetime).alias("target_wt"), F.col(ttl).alias("target_ttl")), keys)
-    near = lambda a, b, most: F.when(F.col(a).isNull() | F.col(b).isNull(), F.col(a).isNull() & F.col(b).isNull()).otherwise(F.abs(F.col(a) - F.col(b)) <= most)
-    return both.withColumn("within", near("source_wt", "target_wt", most_us) & near("source_ttl", "target_ttl", most_s))
+    """The rows of both sides by key, and whether their write times and lifetimes are near enough.
+
+    A row that one side lacks is there and not within.  A missing write time or
+    lifetime counts as 0, as it does where it is read; keys are compared null-safe.
+    """
+    side = lambda df, name: df.select(*(F.col(k).alias(f"_{name}_{k}") for k in keys), F.col(writetime).alias(f"{name}_wt"), F.col(ttl).alias(f"{name}_ttl"), F.lit(True).alias(f"_in_{name}"))
+    on = [F.col(f"_source_{k}").eqNullSafe(F.col(f"_target_{k}")) for k in keys]
+    both = side(source, "source").join(side(target, "target"), on, "full_outer")
+    near = lambda what, most: F.abs(F.coalesce(f"source_{what}", F.lit(0)) - F.coalesce(f"target_{what}", F.lit(0))) <= most
+    two = F.col("_in_source").isNotNull() & F.col("_in_target").isNotNull()
+    key = lambda k: F.when(F.col("_in_source").isNotNull(), F.col(f"_source_{k}")).otherwise(F.col(f"_target_{k}")).alias(k)
+    return both.select(*map(key, keys), "source_wt", "source_ttl", "target_wt", "target_ttl", (two & near("wt", most_us) & near("ttl", most_s)).alias("within"))
 
 
-@dataclass(frozen=True)
-class Side:
-    rows: DataFrame
-    columns: list[str]
+def _both_texts(c: str, kind: T.DataType) -> Column:
+    return F.struct(cell_text(F.col(f"`{c}`"), kind).alias("exact"), F.col(f"`{c}`").cast("string").alias("shown"))
 
 
 def full_diff(source: DataFrame, target: DataFrame, keys: list[str], columns: list[str], also: list[str] | None = None) -> DataFrame:
     """``keys, kind, changed`` of all rows that are on one side only or differ in some column.
 
-    ``changed`` lists name and both texts of each differing column, by name;
-    it is empty for one-sided rows.  ``also`` names columns of metadata that
+    ``changed`` lists name and both values of each differing column, by name, as
+    Spark shows them; they differ where their exact texts do.  It is empty for
+    one-sided rows.  ``also`` names columns of metadata that
     are compared the same way.  Keys are compared null-safe.
     """
     columns = [*columns, *(also or [])]
     kinds = {f.name: f.dataType for f in source.schema.fields}
-    a = source.select(*(F.col(k).alias(f"_s_{k}") for k in keys), *(cell_text(F.col(c), kinds[c]).alias(f"_sv_{c}") for c in columns), F.lit(True).alias("_in_s"))
-    b = target.select(*(F.col(k).alias(f"_t_{k}") for k in keys), *(cell_text(F.col(c), kinds[c]).alias(f"_tv_{c}") for c in columns), F.lit(True).alias("_in_t"))
+    a = source.select(*(F.col(k).alias(f"_s_{k}") for k in keys), *(_both_texts(c, kinds[c]).alias(f"_sv_{c}") for c in columns), F.lit(True).alias("_in_s"))
+    b = target.select(*(F.col(k).alias(f"_t_{k}") for k in keys), *(_both_texts(c, kinds[c]).alias(f"_tv_{c}") for c in columns), F.lit(True).alias("_in_t"))
     on = [F.col(f"_s_{k}").eqNullSafe(F.col(f"_t_{k}")) for k in keys]
     both = a.join(b, on, "full_outer")
     cell = lambda c: F.struct(F.lit(c).alias("name"), F.col(f"_sv_{c}").alias("source"), F.col(f"_tv_{c}").alias("target"))
     two = F.col("_in_s").isNotNull() & F.col("_in_t").isNotNull()
-    changed = F.filter(F.array(*map(cell, sorted(columns))), lambda x: ~x["source"].eqNullSafe(x["target"]))
+    found = F.filter(F.array(*map(cell, sorted(columns))), lambda x: ~x["source"]["exact"].eqNullSafe(x["target"]["exact"]))
+    changed = F.transform(found, lambda x: F.struct(x["name"].alias("name"), x["source"]["shown"].alias("source"), x["target"]["shown"].alias("target")))
     kind = F.when(F.col("_in_t").isNull(), "only_source").when(F.col("_in_s").isNull(), "only_target").when(F.size(changed) > 0, "value_mismatch")
     empty = F.array().cast("array<struct<name:string,source:string,target:string>>")
     found = both.select(*(F.when(F.col("_in_s").isNotNull(), F.col(f"_s_{k}")).otherwise(F.col(f"_t_{k}")).alias(k) for k in keys), kind.alias("kind"), F.when(two, changed).otherwise(empty).alias("changed"))

@@ -20,6 +20,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{at}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows read back from a table in the shared folder, for what is used several times; names are any."""
+    at = work_dir(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever store Spark reads it from."""
     jvm = spark.sparkContext._jvm
