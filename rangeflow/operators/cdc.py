@@ -231,7 +231,7 @@ def compact(planned: DataFrame, schema: TableSchema) -> DataFrame:
     Applying them with any later or late plans gives what applying all would.
     """
     keys, partition = [c.name for c in schema.primary_key], [c.name for c in schema.partition_key]
-    best = _cells(planned, schema).groupBy(*keys, "name").agg(F.max(F.struct("writetime", "deleted", "value")).alias("k")).select(*keys, "name", "k.*")
+    best = _cells(planned, schema).groupBy(*keys, "name").agg(F.max(F.struct("writetime", "deleted", "value")).alias("_best")).select(*keys, "name", "_best.*")
     no_cells, no_names = F.array().cast("array<struct<name:string,value:string>>"), F.array().cast("array<string>")
     seen = F.col("name") != MARKER
     upserts = best.where(~F.col("deleted") & (F.col("name") != ROW)).groupBy(*keys, "writetime").agg(F.collect_list(F.when(seen, F.struct("name", "value"))).alias("cells"))

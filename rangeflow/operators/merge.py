@@ -108,5 +108,5 @@ def rebuild_maps(elements: DataFrame, keys: list[str]) -> DataFrame:
 def rebuild_sets(elements: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, column, entries``: the elements of each set, sorted; one that a later write removed (``deleted``) is left out."""
     gone = F.col("deleted") if "deleted" in elements.columns else F.lit(False)
-    won = elements.groupBy(*keys, "column", "element").agg(F.max(F.struct("writetime", gone.alias("gone"))).alias("k"))
-    return won.groupBy(*keys, "column").agg(F.array_sort(F.collect_list(F.when(~F.col("k.gone"), F.col("element")))).alias("entries"))
+    won = elements.groupBy(*keys, "column", "element").agg(F.max(F.struct("writetime", gone.alias("gone"))).alias("_last"))
+    return won.groupBy(*keys, "column").agg(F.array_sort(F.collect_list(F.when(~F.col("_last.gone"), F.col("element")))).alias("entries"))

@@ -83,6 +83,44 @@ def vnode_unit_counts(spark, sf_dir):
     return spans.join(counts, "unit", "left").select("token_start", "token_end", F.coalesce("n", F.lit(0)).alias("n_rows"))
 
 
+@query(f"""
+WITH ring AS (SELECT DISTINCT {fx.token_sql('n_nationkey')} AS token FROM nation),
+spans AS (SELECT coalesce(lag(token) OVER (ORDER BY token), {MIN_TOKEN}) AS lo, token AS hi, row_number() OVER (ORDER BY token) AS k FROM ring UNION ALL SELECT max(token), {MAX_TOKEN}, 0 FROM ring),
+parts AS (SELECT *, greatest(60 // count(*) OVER (), 1) + CASE WHEN 60 >= count(*) OVER () AND k < 60 % count(*) OVER () THEN 1 ELSE 0 END AS m, hi::HUGEINT - lo::HUGEINT AS width FROM spans)
+SELECT CAST(row_number() OVER (ORDER BY k, j) - 1 AS INT) AS unit, CAST(lo + j * (width // m) AS BIGINT) AS token_start, CAST(CASE WHEN j = m - 1 THEN hi ELSE lo + (j + 1) * (width // m) END AS BIGINT) AS token_end
+FROM parts, LATERAL (SELECT unnest(range(0, m::BIGINT)) AS j)""")
+def plan_topology(spark, sf_dir):
+    """Sixty units over the ranges between the tokens of a topology; the nations stand for its nodes."""
+    tokens = fx.read(spark, sf_dir, "nation").select(fx.portable_token(F.col("n_nationkey")).alias("token")).collect()  # a row a node
+    return planner.frame(spark, planner.plan("vnode", 60, tokens=[r.token for r in tokens]))
+
+
+def _ring_sql(key: str) -> str:
+    """Murmur3 of keys of eight bytes below 2^15, whose bytes have no sign to extend but for the last one, where it is shifted out."""
+    turn = lambda x, r: f"(({x} * {2**r}::UHUGEINT) % {2**64}::UHUGEINT + {x} // {2 ** (64 - r)}::UHUGEINT)"
+    times = lambda x, by: f"(({x} * {by}::UHUGEINT) % {2**64}::UHUGEINT)"
+    mixed = lambda x: f"xor({x}::UBIGINT, ({x} // {2**33}::UHUGEINT)::UBIGINT)::UHUGEINT"
+    steps = [
+        f"SELECT {key} AS key, (({key} % 256)::UHUGEINT * {2**56}::UHUGEINT + ({key} // 256)::UHUGEINT * {2**48}::UHUGEINT) AS x FROM customer",
+        f"SELECT key, {times('x', 0x87C37B91114253D5)} AS x FROM s0", f"SELECT key, {turn('x', 31)} AS x FROM s1", f"SELECT key, xor({times('x', 0x4CF5AD432745937F)}::UBIGINT, 8::UBIGINT)::UHUGEINT AS x FROM s2",
+        f"SELECT key, (x + 8) % {2**64}::UHUGEINT AS a, (x + 16) % {2**64}::UHUGEINT AS b FROM s3",
+        f"SELECT key, {mixed('a')} AS a, {mixed('b')} AS b FROM s4", f"SELECT key, {times('a', 0xFF51AFD7ED558CCD)} AS a, {times('b', 0xFF51AFD7ED558CCD)} AS b FROM s5",
+        f"SELECT key, {mixed('a')} AS a, {mixed('b')} AS b FROM s6", f"SELECT key, {times('a', 0xC4CEB9FE1A85EC53)} AS a, {times('b', 0xC4CEB9FE1A85EC53)} AS b FROM s7",
+        f"SELECT key, ({mixed('a')} + {mixed('b')}) % {2**64}::UHUGEINT AS t FROM s8",
+    ]
+    named = ", ".join(f"s{k} AS ({x})" for k, x in enumerate(steps))
+    return f"WITH {named} SELECT key AS {key}, CAST(CASE WHEN t = {2**63}::UHUGEINT THEN {MAX_TOKEN} WHEN t > {2**63}::UHUGEINT THEN t::HUGEINT - {2**64}::HUGEINT ELSE t::HUGEINT END AS BIGINT) AS token FROM s9"
+
+
+@query(_ring_sql("c_custkey"))
+def ring_tokens(spark, sf_dir):
+    """Ring tokens of all customers' keys, as eight bytes each."""
+    from rangeflow.functions.tokens import key_bytes, ring_token
+
+    key = F.unhex(F.lpad(F.hex("c_custkey"), 16, "0"))
+    return fx.read(spark, sf_dir, "customer").select("c_custkey", ring_token(key_bytes(key)).alias("token"))
+
+
 # ---- scans
 
 _SCAN = planner.split_range(fx.PARENT, 16)[3]
@@ -203,6 +241,14 @@ def lww_upsert(spark, sf_dir):
     return merge.last_write_wins(rows, ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"])
 
 
+@query("""
+SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS kind, arg_max(CAST(json_extract_string(props, '$.k') AS INT), (ts, event_id)) AS k FROM events GROUP BY user_id""")
+def lww_maps(spark, sf_dir):
+    """The last version of each user's row, which has a map."""
+    rows = fx.read(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("kind"), F.from_json("props", "map<string,int>").alias("attrs"))
+    return merge.last_write_wins(rows, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "kind", F.col("attrs")["k"].alias("k"))
+
+
 @query(f"""
 WITH {fx.log_sql()}, cells AS (
   SELECT user_id, k, 'value' AS name, CAST(CAST(value AS DECIMAL(18, 2)) AS VARCHAR) AS v, time, drops AS deleted FROM log WHERE op IN ('row_insert', 'row_update') AND (value IS NOT NULL OR drops)
@@ -256,7 +302,7 @@ def _framed_sql(x: str) -> str:
     return f"CASE WHEN {x} IS NULL THEN 'N' ELSE 'V' || length({x}) || ':' || {x} END"
 
 
-_ORDER_TEXT = ["CAST(o_custkey AS VARCHAR)", "CAST(o_orderkey AS VARCHAR)", "CAST(epoch_us(o_orderdate) AS VARCHAR)", "o_orderpriority", "o_orderstatus", "CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR)"]
+_ORDER_TEXT = ["CAST(o_custkey AS VARCHAR)", "CAST(o_orderkey AS VARCHAR)", "CAST(epoch_us(o_orderdate) AS VARCHAR)", "o_orderpriority", "o_orderstatus", fx.double_sql("o_totalprice")]
 _HASH_SQL = f"md5({' || '.join(map(_framed_sql, _ORDER_TEXT))})"
 
 
@@ -320,16 +366,19 @@ def validate_sample(spark, sf_dir):
 
 @query(f"""
 WITH {fx.ORDER_META_SQL}, other AS (
-  SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN _writetime + 2000000 WHEN o_orderkey % 13 = 0 THEN NULL ELSE _writetime + 500000 END AS w, _ttl + CASE WHEN o_orderkey % 17 = 0 THEN 61 ELSE 0 END AS l FROM meta
+  SELECT o_custkey, o_orderkey + CASE WHEN o_orderkey % 19 = 0 THEN 1000000000 ELSE 0 END AS o_orderkey,
+         CASE WHEN o_orderkey % 11 = 0 THEN _writetime + 2000000 WHEN o_orderkey % 13 = 0 THEN NULL ELSE _writetime + 500000 END AS w, _ttl + CASE WHEN o_orderkey % 17 = 0 THEN 61 ELSE 0 END AS l FROM meta
 )
-SELECT m.o_custkey, m.o_orderkey, m._writetime AS source_wt, m._ttl AS source_ttl, o.w AS target_wt, CAST(o.l AS INT) AS target_ttl,
-       coalesce(abs(m._writetime - o.w) <= 1000000, false) AND abs(m._ttl - o.l) <= 60 AS within
-FROM meta m JOIN other o USING (o_custkey, o_orderkey)""")
+SELECT coalesce(m.o_custkey, o.o_custkey) AS o_custkey, coalesce(m.o_orderkey, o.o_orderkey) AS o_orderkey, m._writetime AS source_wt, m._ttl AS source_ttl, o.w AS target_wt, CAST(o.l AS INT) AS target_ttl,
+       m.o_orderkey IS NOT NULL AND o.o_orderkey IS NOT NULL AND abs(coalesce(m._writetime, 0) - coalesce(o.w, 0)) <= 1000000 AND abs(coalesce(m._ttl, 0) - coalesce(o.l, 0)) <= 60 AS within
+FROM meta m FULL JOIN other o ON m.o_custkey = o.o_custkey AND m.o_orderkey = o.o_orderkey""")
 def validate_tolerance(spark, sf_dir):
+    """Write times and lifetimes of two sides, each of which has rows that the other lacks."""
     rows = merge.preserve(fx.order_meta(fx.read(spark, sf_dir, "orders")), fx.ORDERS).select("o_custkey", "o_orderkey", "_writetime", "_ttl")
     key = F.col("o_orderkey")
     moved = F.when(F.pmod(key, F.lit(11)) == 0, F.col("_writetime") + 2_000_000).when(F.pmod(key, F.lit(13)) == 0, F.lit(None)).otherwise(F.col("_writetime") + 500_000)
-    other = rows.select("o_custkey", "o_orderkey", moved.alias("_writetime"), (F.col("_ttl") + F.when(F.pmod(key, F.lit(17)) == 0, 61).otherwise(0)).alias("_ttl"))
+    own = key + F.when(F.pmod(key, F.lit(19)) == 0, 1_000_000_000).otherwise(0)
+    other = rows.select("o_custkey", own.alias("o_orderkey"), moved.alias("_writetime"), (F.col("_ttl") + F.when(F.pmod(key, F.lit(17)) == 0, 61).otherwise(0)).alias("_ttl"))
     return validate.within_tolerance(rows, other, ["o_custkey", "o_orderkey"])
 
 
@@ -348,7 +397,8 @@ _REGULAR = ["o_orderdate", "o_orderpriority", "o_orderstatus", "o_totalprice"]
 def _diffs(spark, sf_dir) -> DataFrame:
     source, target = _sides(spark, sf_dir)
     found = validate.full_diff(source, target, _KEYS, _REGULAR)
-    text = F.array_join(F.transform("changed", lambda x: F.concat(x["name"], F.lit(": "), F.coalesce(x["source"], F.lit("N")), F.lit(" / "), F.coalesce(x["target"], F.lit("N")))), "; ")
+    cents = lambda x: F.coalesce(x.try_cast("decimal(18,2)").cast("string"), F.lit("N"))
+    text = F.array_join(F.transform("changed", lambda x: F.concat(x["name"], F.lit(": "), cents(x["source"]), F.lit(" / "), cents(x["target"]))), "; ")
     return found.withColumn("changed", text)
 
 
@@ -442,6 +492,25 @@ def cdc_range_delete(spark, sf_dir):
     return _applied(spark, sf_dir, True, True)
 
 
+@query(f"""
+WITH {fx.SLOT_SQL}, gone AS (
+  SELECT s.user_id, s.a, s.b, max(i.until) AS t FROM (SELECT DISTINCT user_id, a, b FROM slots WHERE op = 'row') s JOIN bounds i ON i.user_id = s.user_id AND i.op = 'left' AND i.next_op = 'right'
+    AND (s.a > i.a OR s.a = i.a AND (i.b IS NULL OR s.b >= i.b)) AND (s.a < i.ha OR s.a = i.ha AND s.b < i.hb) GROUP BY ALL
+), parts AS (SELECT user_id, max(time) AS t FROM slots WHERE op = 'partition' GROUP BY 1),
+cells AS (SELECT user_id, a, b, max((time, kind)) AS k FROM slots WHERE op = 'row' GROUP BY ALL)
+SELECT c.user_id, c.a, c.b, k[2] AS kind FROM cells c LEFT JOIN gone g ON g.user_id = c.user_id AND g.a = c.a AND g.b = c.b LEFT JOIN parts p ON p.user_id = c.user_id
+WHERE coalesce(k[1] > g.t, true) AND coalesce(k[1] > p.t, true)""")
+def cdc_composite_range_delete(spark, sf_dir):
+    """Ranges over two clustering columns: bounds by the first alone, or by an equal or differing first and the second."""
+    return cdc.apply(cdc.plan(fx.slot_log(fx.read(spark, sf_dir, "events")), fx.SLOTS), fx.SLOTS)
+
+
+@query(f"""
+WITH {fx.SLOT_SQL} SELECT count(*) AS bounds, count(*) FILTER (NOT (op = 'left' AND coalesce(next_op, '') = 'right' OR op = 'right' AND coalesce(last_op, '') = 'left')) AS unpaired FROM bounds""")
+def cdc_unpaired_bounds(spark, sf_dir):
+    return cdc.unpaired(cdc.plan(fx.slot_log(fx.read(spark, sf_dir, "events")), fx.SLOTS), fx.SLOTS)
+
+
 @query("""
 WITH log AS (SELECT epoch_us(ts) AS time FROM events)
 SELECT time - time % 60000000 AS window_start, count(*) AS n_changes FROM log WHERE time <= (SELECT max(time) - 30000000 FROM log) GROUP BY 1""")
@@ -591,15 +660,33 @@ def backoff(spark, sf_dir):
     return spark.range(1, 9).select(F.col("id").cast("int").alias("attempt"), progress.backoff_column(F.col("id"), 100, 1000).alias("wait_ms"))
 
 
-@query()
+@query("""
+WITH RECURSIVE waves AS (
+  SELECT CAST(event_id % 128 AS INT) AS wave, CAST(CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) // count(*) AS DOUBLE) AS latency_ms FROM events GROUP BY 1
+), seen AS (
+  SELECT *, max(latency_ms) OVER (ORDER BY wave ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) AS worst, row_number() OVER (ORDER BY wave) AS n, (SELECT sum(latency_ms) / count(*) FROM waves) AS target FROM waves
+), trace AS (
+  SELECT 0::BIGINT AS n, 64 AS concurrency
+  UNION ALL
+  SELECT s.n, CASE WHEN worst > target * 2.5 THEN greatest(8, CAST(floor(concurrency * 0.8::DOUBLE) AS INT)) WHEN worst < 0.7::DOUBLE * (target * 2.5) THEN least(512, concurrency + 4) ELSE concurrency END
+  FROM trace t JOIN seen s ON s.n = t.n + 1
+) SELECT wave, latency_ms, concurrency FROM trace JOIN seen USING (n)""")
 def aimd_trace(spark, sf_dir):
     """Concurrency after each of a run's wave latencies; the controller is sequential by nature and sees one value a wave, not rows."""
-    waves = fx.read(spark, sf_dir, "events").groupBy(F.pmod("event_id", F.lit(128)).cast("int").alias("wave")).agg(F.avg("value").alias("latency_ms")).orderBy("wave").collect()  # 128 rows
-    throttle = progress.Throttle(target_ms=sum(w.latency_ms for w in waves) / max(1, len(waves)))
-    return spark.createDataFrame([(w.wave, float(w.latency_ms), throttle.observe(w.latency_ms)) for w in waves], "wave int, latency_ms double, concurrency int")
+    cents = F.sum(F.round(F.col("value") * 100).cast("bigint"))
+    waves = fx.read(spark, sf_dir, "events").groupBy(F.pmod("event_id", F.lit(128)).cast("int").alias("wave")).agg(cents.alias("s"), F.count(F.lit(1)).alias("n")).orderBy("wave").collect()  # 128 rows
+    latencies = [(w.wave, float(w.s // w.n)) for w in waves]
+    throttle = progress.Throttle(target_ms=sum(x for _, x in latencies) / max(1, len(latencies)) * 2.5)
+    return spark.createDataFrame([(w, x, throttle.observe(x)) for w, x in latencies], "wave int, latency_ms double, concurrency int")
 
 
-@query()
+@query(f"""
+WITH {fx.UNITS_SQL}, s AS (
+  SELECT count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'running') AS running, count(*) FILTER (state = 'completed') AS completed, count(*) FILTER (state = 'failed') AS failed, count(*) AS total,
+         CAST(sum(rows_read) AS BIGINT) AS r, CAST(sum(rows_written) AS BIGINT) AS w, CAST(sum(bytes_written) AS BIGINT) AS b FROM units
+)
+SELECT kind, '{{"bytes_written": ' || b || ', "completed": ' || completed || ', "elapsed_seconds": 12.5' || CASE WHEN kind = 'failed' THEN ', "error": "unit 3"' ELSE '' END || ', "failed": ' || failed || ', "pending": ' || pending
+  || ', "rows_read": ' || r || ', "rows_written": ' || w || ', "run": "orders", "running": ' || running || ', "status": "' || kind || '", "total": ' || total || '}}' AS body FROM s, (VALUES ('complete'), ('failed')) k(kind)""")
 def notify_payload(spark, sf_dir):
     found = checkpoint.summarise(_run_units(spark, sf_dir)).drop("done").first().asDict()
     return spark.createDataFrame([("complete", progress.notification("orders", "complete", found, 12.5)), ("failed", progress.notification("orders", "failed", found, 12.5, "unit 3"))], "kind string, body string")
@@ -633,3 +720,29 @@ def copy_table(spark, sf_dir):
         key = copy.start("orders", fx.UNITS)
         copy.run(key)
         return copy.result(key).drop("_tok")
+
+
+@query(f"WITH {fx.ORDER_META_SQL} SELECT o_custkey, o_orderkey, o_orderdate, o_orderpriority, o_orderstatus, o_totalprice, _writetime, _ttl FROM meta")
+def copy_preserving(spark, sf_dir):
+    """A copy with write times and lifetimes, by units between the tokens of a topology, in two waves."""
+    import os
+    import tempfile
+
+    from rangeflow.engine import Copy
+    from rangeflow.sources.storage import work_dir
+
+    with tempfile.TemporaryDirectory() as d:  # the driver's own checkpoint file
+        orders, tokens = fx.order_meta(fx.read(spark, sf_dir, "orders")), tuple(k * 2**57 for k in range(1, 8))
+        copy = Copy(spark, orders, fx.ORDERS, work_dir(spark, "copy"), checkpoint.Checkpoint(os.path.join(d, "run.db")), fx.portable_token(F.col("o_custkey")), mode="vnode", tokens=tokens, preserve_writetime=True, preserve_ttl=True)
+        key = copy.start("orders", 16)
+        copy.run(key, wave=8)
+        return copy.result(key).drop("_tok")
+
+
+@query(_apply_sql(True, True))
+def cdc_compacted(spark, sf_dir):
+    """The plans of the log, compacted in two parts, and applied."""
+    log = fx.change_log(fx.read(spark, sf_dir, "events"), True, True)
+    first, rest = (cdc.plan(log.where(F.pmod("seq", F.lit(2)) == k), fx.EVENTS) for k in (0, 1))
+    both = cdc.compact(first, fx.EVENTS).unionByName(rest.select("action", "op", "user_id", "k", "cells", "columns", "time", "seq"))
+    return cdc.apply(cdc.compact(both, fx.EVENTS), fx.EVENTS)

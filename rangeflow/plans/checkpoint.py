@@ -9,6 +9,7 @@ it to queries.
 from __future__ import annotations
 
 import sqlite3
+import threading
 import time
 import uuid
 from collections.abc import Iterable, Iterator
@@ -47,7 +48,7 @@ class Checkpoint:
     def __init__(self, path: str, clock=time.time) -> None:
         self.db = sqlite3.connect(path, isolation_level=None, timeout=BUSY_MS / 1000)
         self.db.row_factory = sqlite3.Row
-        self.clock = clock
+        self.path, self.clock = path, clock
         self.db.execute("PRAGMA journal_mode = WAL")
         self.db.executescript(TABLES)
 
@@ -98,21 +99,47 @@ class Checkpoint:
             )
             return dict(db.execute("SELECT * FROM units WHERE run = ? AND unit = ?", (run, first["unit"])).fetchone())
 
-    def _update(self, run: str, unit: int, allowed: tuple[str, ...], sets: str, values: tuple, also: str = "1") -> None:
+    def _update(self, run: str, unit: int, allowed: tuple[str, ...], sets: str, values: tuple, also: str = "1", attempt: tuple[str, int] | None = None) -> None:
+        """``attempt`` names worker and attempt: who lost a unit to another attempt can no longer change it."""
+        fence = "1" if attempt is None else "worker = ? AND attempts = ?"
         with self._changing() as db:
             marks = ", ".join("?" * len(allowed))
-            done = db.execute(f"UPDATE units SET {sets}, updated_at = ? WHERE run = ? AND unit = ? AND state IN ({marks}) AND {also}", (*values, self.clock(), run, unit, *allowed))
+            done = db.execute(f"UPDATE units SET {sets}, updated_at = ? WHERE run = ? AND unit = ? AND state IN ({marks}) AND {also} AND {fence}", (*values, self.clock(), run, unit, *allowed, *(attempt or ())))
             if done.rowcount != 1:
                 raise CheckpointError(f"unit {unit} of run {run} is not in a state that allows this")
 
-    def save_progress(self, run: str, unit: int, rows_read: int, rows_written: int, bytes_written: int, last_token: int | None = None) -> None:
-        self._update(run, unit, (RUNNING,), "rows_read = ?, rows_written = ?, bytes_written = ?, last_token = ?, progress_saved = 1, heartbeat_at = ?", (rows_read, rows_written, bytes_written, last_token, self.clock()))
+    def heartbeat(self, run: str, worker: str) -> int:
+        """Says that the worker's units are alive; gives how many it has."""
+        with self._changing() as db:
+            return db.execute("UPDATE units SET heartbeat_at = ? WHERE run = ? AND worker = ? AND state = ?", (self.clock(), run, worker, RUNNING)).rowcount
+
+    @contextmanager
+    def beating(self, run: str, worker: str, every_s: float) -> Iterator[None]:
+        """Sends heartbeats from a thread of its own, with its own connection, as long as the block runs."""
+        done = threading.Event()
+
+        def beat() -> None:
+            store = Checkpoint(self.path, self.clock)
+            while not done.wait(every_s):
+                store.heartbeat(run, worker)
+            store.db.close()
+
+        thread = threading.Thread(target=beat, daemon=True)
+        thread.start()
+        try:
+            yield
+        finally:
+            done.set()
+            thread.join()
+
+    def save_progress(self, run: str, unit: int, rows_read: int, rows_written: int, bytes_written: int, last_token: int | None = None, attempt: tuple[str, int] | None = None) -> None:
+        self._update(run, unit, (RUNNING,), "rows_read = ?, rows_written = ?, bytes_written = ?, last_token = ?, progress_saved = 1, heartbeat_at = ?", (rows_read, rows_written, bytes_written, last_token, self.clock()), attempt=attempt)
 
-    def complete(self, run: str, unit: int, output: str | None = None) -> None:
-        self._update(run, unit, (RUNNING,), "state = ?, output = ?, error = NULL", (COMPLETED, output), "progress_saved = 1")
+    def complete(self, run: str, unit: int, output: str | None = None, attempt: tuple[str, int] | None = None) -> None:
+        self._update(run, unit, (RUNNING,), "state = ?, output = ?, error = NULL", (COMPLETED, output), "progress_saved = 1", attempt)
 
-    def fail(self, run: str, unit: int, error: str) -> None:
-        self._update(run, unit, RESUMABLE, "state = ?, error = ?", (FAILED, error))
+    def fail(self, run: str, unit: int, error: str, attempt: tuple[str, int] | None = None) -> None:
+        self._update(run, unit, RESUMABLE, "state = ?, error = ?", (FAILED, error), attempt=attempt)
 
     def requeue_failed(self, run: str) -> int:
         with self._changing() as db:

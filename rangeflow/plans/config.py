@@ -40,7 +40,7 @@ def split_name(name: str) -> tuple[str, str]:
 @dataclass(frozen=True)
 class Engine:
     workers: int = 32
-    page_size: int = 5000
+    page_size: int = 5000  # the only value that is taken: Spark reads by splits of files, not by pages
     write_batch_size: int = 10
     preserve_writetime: bool = False
     preserve_ttl: bool = False
@@ -48,12 +48,15 @@ class Engine:
     preserve_frozen: bool = False
     allow_counters: bool = False
     max_units: int | None = None
-    units_per_wave: int = 64
+    units_per_wave: int | None = None  # all that are pending at once, or as many as the throttle says
+    attempts: int = 3
 
     def __post_init__(self) -> None:
         _need(self.workers >= 1, "workers must be at least 1")
-        _need(self.page_size >= 1, "page_size must be at least 1")
+        _need(self.page_size == 5000, "page_size cannot be set: tables are read by splits of files")
         _need(1 <= self.write_batch_size <= 256, "write_batch_size must be from 1 to 256")
+        _need(self.attempts >= 1, "attempts must be at least 1")
+        _need(self.units_per_wave is None or self.units_per_wave >= 1, "units_per_wave must be at least 1")
         _need(self.max_units is None or self.max_units >= 1, "max_units must be at least 1")
         _need(not self.preserve_elements or self.preserve_writetime or self.preserve_ttl, "preserve_elements needs write times or lifetimes")
 
@@ -63,7 +66,7 @@ class Concurrency:
     initial: int = 64
     min: int = 8
     max: int = 512
-    adaptive: bool = True
+    adaptive: bool = False
     target_p99_ms: float = 15.0
 
     def __post_init__(self) -> None:
@@ -134,11 +137,14 @@ class Integrity:
 
 @dataclass(frozen=True)
 class Planner:
+    """``tokens`` are those of the topology's nodes, which ``vnode`` plans by."""
+
     mode: str = "even"
+    tokens: tuple[int, ...] = ()
 
     def __post_init__(self) -> None:
-        _need(self.mode != "vnode", "planner mode 'vnode' needs a topology, which a copy does not have")
-        _need(self.mode == "even", f"unknown planner mode {self.mode!r}")
+        _need(self.mode in ("even", "vnode"), f"unknown planner mode {self.mode!r}")
+        _need(self.mode == "even" or bool(self.tokens), "planner mode 'vnode' needs the tokens of a topology")
 
 
 @dataclass(frozen=True)
@@ -199,10 +205,11 @@ def parse(text: str) -> Config:
 
     known = {"migration", "source", "target", "tables", "notify", "dual_write", *_SECTIONS}
     _need(set(raw) <= known, f"unknown sections: {', '.join(sorted(set(raw) - known))}")
-    tables = tuple(made(TableMapping, {k: tuple(v) if isinstance(v, list) else v for k, v in t.items()}) for t in raw.get("tables", []))
+    listed = lambda values: {k: tuple(v) if isinstance(v, list) else v for k, v in values.items()}
+    tables = tuple(made(TableMapping, listed(t)) for t in raw.get("tables", []))
     target = raw.get("target", {})
     _need(target.get("kind", "parquet") == "parquet" and raw.get("source", {}).get("kind", "parquet") == "parquet", "only parquet tables are supported")
-    parts = {name: made(kind, raw.get(name, {})) for name, kind in _SECTIONS.items()}
+    parts = {name: made(kind, listed(raw.get(name, {}))) for name, kind in _SECTIONS.items()}
     return Config(raw.get("migration", {}).get("name", ""), raw.get("source", {}).get("path", ""), target.get("path", ""), tables, target.get("create_schema", False), webhook=raw.get("notify", {}).get("webhook"), require_both=raw.get("dual_write", {}).get("require_both", True), **parts)
 
 

@@ -50,14 +50,16 @@ def in_units(df: DataFrame, *keys: str, n: int = UNITS) -> DataFrame:
 def target_orders(orders: DataFrame) -> DataFrame:
     """A target that lacks some rows, has others changed, and has some of its own."""
     key = F.col("o_orderkey")
-    kept = orders.where(F.pmod(key, F.lit(97)) != 0).withColumn("o_totalprice", F.when(F.pmod(key, F.lit(53)) == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    price = F.col("o_totalprice")
+    changed = F.when(F.pmod(key, F.lit(53)) == 0, price + 1).when(F.pmod(key, F.lit(59)) == 0, price + 2.0**-20)  # some by far less than a cent
+    kept = orders.where(F.pmod(key, F.lit(97)) != 0).withColumn("o_totalprice", F.coalesce(changed, price))
     return kept.unionByName(orders.where(F.pmod(key, F.lit(89)) == 0).withColumn("o_orderkey", key + 1_000_000_000))
 
 
 TARGET_SQL = """
 target AS (
   SELECT o_custkey, o_orderkey, o_orderdate, o_orderpriority, o_orderstatus,
-         CASE WHEN o_orderkey % 53 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice
+         CASE WHEN o_orderkey % 53 = 0 THEN o_totalprice + 1 WHEN o_orderkey % 59 = 0 THEN o_totalprice + pow(2.0::DOUBLE, -20) ELSE o_totalprice END AS o_totalprice
   FROM orders WHERE o_orderkey % 97 <> 0
   UNION ALL
   SELECT o_custkey, o_orderkey + 1000000000, o_orderdate, o_orderpriority, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 89 = 0
@@ -126,6 +128,44 @@ log0 AS (
 )"""
 
 
+def double_sql(x: str) -> str:
+    """A double as digests see it: sign, significand of 53 bits, power of two."""
+    guess = f"CAST(floor(log2(abs({x}))) AS INT)"
+    part = f"abs({x}) / pow(2.0::DOUBLE, {guess})"
+    power = f"({guess} + CASE WHEN {part} >= 2 THEN 1 WHEN {part} < 1 THEN -1 ELSE 0 END)"
+    whole = f"CAST(CAST(abs({x}) / pow(2.0::DOUBLE, {power}) * 4503599627370496.0::DOUBLE AS BIGINT) AS VARCHAR)"
+    return f"CASE WHEN {x} IS NULL THEN NULL WHEN isnan({x}) THEN 'nan' WHEN isinf({x}) THEN CASE WHEN {x} > 0 THEN 'inf' ELSE '-inf' END WHEN {x} = 0 THEN '0' ELSE CASE WHEN {x} < 0 THEN '-' ELSE '' END || {whole} || 'p' || {power} END"
+
+
+SLOTS = TableSchema("shop", "slots_by_user", (
+    ColumnInfo("user_id", "bigint", PK, 0), ColumnInfo("a", "int", CK, 0), ColumnInfo("b", "int", CK, 1), ColumnInfo("kind", "text"),
+))
+
+
+def slot_log(events: DataFrame) -> DataFrame:
+    """The events as changes of rows (user, a, b); some bound ranges by a alone, some by a and b."""
+    k, n = F.get_json_object("props", "$.k").cast("int"), F.col("event_id")
+    op = F.when(k % 10 == 1, cdc.LEFT_INCLUSIVE).when(k % 10 == 2, cdc.RIGHT_EXCLUSIVE).when(k == 3, cdc.DELETE_PARTITION).otherwise(cdc.INSERT)
+    b = F.when(~op.isin(cdc.LEFT_INCLUSIVE, cdc.RIGHT_EXCLUSIVE) | (F.pmod(n, F.lit(3)) != 0), F.pmod(n, F.lit(10)).cast("int"))
+    return events.select(
+        op.alias("op"), "user_id", (k % 5).alias("a"), b.alias("b"), F.col("event_type").alias("kind"),
+        F.array().cast("array<string>").alias("deleted"), micros("ts").alias("time"), n.alias("seq"),
+    )
+
+
+SLOT_SQL = """
+slots0 AS (
+  SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events
+), slots AS (
+  SELECT CASE WHEN k % 10 = 1 THEN 'left' WHEN k % 10 = 2 THEN 'right' WHEN k = 3 THEN 'partition' ELSE 'row' END AS op, user_id, k % 5 AS a,
+         CASE WHEN k % 10 NOT IN (1, 2) OR event_id % 3 <> 0 THEN CAST(event_id % 10 AS INT) END AS b, event_type AS kind, epoch_us(ts) AS time, event_id AS seq
+  FROM slots0
+), bounds AS (
+  SELECT *, lead(op) OVER w AS next_op, lag(op) OVER w AS last_op, lead(a) OVER w AS ha, lead(b) OVER w AS hb, lead(time) OVER w AS until
+  FROM slots WHERE op IN ('left', 'right') WINDOW w AS (PARTITION BY user_id ORDER BY time, seq)
+)"""
+
+
 def run_units(df: DataFrame, spark: SparkSession) -> DataFrame:
     """Sixteen planned units with states by their number, counters from the orders, and times of their last change."""
     u = F.col("unit")

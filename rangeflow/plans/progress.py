@@ -73,23 +73,28 @@ def backoff_column(attempt: Column, initial: float = 50, most: float = 30_000) -
     return F.when(attempt <= 1, F.lit(0.0)).otherwise(F.least(F.lit(float(initial)) * F.pow(F.lit(2.0), attempt - 2), F.lit(float(most))))
 
 
-def with_retries(work: Callable[[], object], attempts: int = 8, initial_ms: float = 50, sleep: Callable[[float], None] | None = None, retryable: tuple[type[Exception], ...] = (OSError,)) -> object:
-    """Runs the work again after failures that may pass; others are raised at once."""
+def with_retries(work: Callable[[], object], attempts: int = 8, initial_ms: float = 50, sleep: Callable[[float], None] | None = None, retryable: tuple[type[Exception], ...] = (OSError,), seen: Callable[[Exception], None] | None = None) -> object:
+    """Runs the work again after failures that may pass, which ``seen`` is told of; others are raised at once."""
     import time
 
     for k in range(1, attempts + 1):
         (sleep or time.sleep)(backoff_ms(k, initial_ms) / 1000)
         try:
             return work()
-        except retryable:
+        except retryable as e:
             if k == attempts:
                 raise
+            if seen:
+                seen(e)
     raise AssertionError
 
 
 @dataclass
 class Throttle:
-    """Concurrency that falls by a fifth when latency is over the target and rises by four when it is well below."""
+    """Concurrency that falls by a fifth when latency is over the target and rises by four when it is well below.
+
+    A latency is that of one write batch: the time of a wave on all its tasks over the batches it wrote.
+    """
 
     current: int = 64
     least: int = 8

@@ -27,11 +27,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def _at(spark: SparkSession, path: str) -> tuple:
+    """A path and the store that it is in, whatever Spark reads it from."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path is there, in whatever store Spark reads it from."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    at, store = _at(spark, path)
+    return store.exists(at)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders under a path; none if it is not there."""
+    at, store = _at(spark, path)
+    return [f.getPath().getName() for f in store.listStatus(at) if f.isDirectory()] if store.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, store = _at(spark, path)
+    store.delete(at, True)
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Puts a folder in the place of another."""
+    (a, store), (b, _) = _at(spark, source), _at(spark, target)
+    store.delete(b, True)
+    store.mkdirs(b.getParent())
+    if not store.rename(a, b):
+        raise OSError(f"{source} could not be moved to {target}")
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, files: int = 64) -> DataFrame:

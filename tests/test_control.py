@@ -128,3 +128,40 @@ def test_eta(spark):
 
     found = spark.createDataFrame([(50.0, 100.0), (0.5, 10.0), (100.0, 10.0), (20.0, 0.5)], "p double, e double").select(eta_seconds(F.col("p"), F.col("e")))
     assert [r[0] for r in found.collect()] == [100.0, None, None, None]
+
+
+def test_a_lost_attempt_changes_nothing(tmp_path):
+    now = [100.0]
+    store = Checkpoint(str(tmp_path / "f.db"), lambda: now[0])
+    key = store.create_run("r", "a.b", "a.b", "p", split_range(TokenRange(0, 10), 1))
+    first = store.claim(key, "slow")
+    now[0] += 500
+    assert store.reclaim_stale(key, 120) == 1
+    second = store.claim(key, "quick")
+    assert (first["attempts"], second["attempts"]) == (1, 2)
+    lost = ("slow", 1)
+    for late in (lambda: store.save_progress(key, 0, 1, 1, 1, None, lost), lambda: store.complete(key, 0, "x", lost), lambda: store.fail(key, 0, "x", lost)):
+        with pytest.raises(CheckpointError):
+            late()
+    store.save_progress(key, 0, 1, 1, 1, None, ("quick", 2))
+    store.complete(key, 0, "out", ("quick", 2))
+
+
+def test_heartbeats_keep_units(tmp_path):
+    import time
+
+    store = Checkpoint(str(tmp_path / "h.db"))
+    key = store.create_run("r", "a.b", "a.b", "p", split_range(TokenRange(0, 10), 2))
+    store.claim(key, "w")
+    with store.beating(key, "w", 0.05):
+        time.sleep(0.6)
+        assert store.reclaim_stale(key, 0.4) == 0
+    time.sleep(0.6)
+    assert store.reclaim_stale(key, 0.4) == 1
+
+
+def test_settings_without_meaning_are_refused():
+    for section in ('[engine]\npage_size = 10', '[planner]\nmode = "vnode"', '[planner]\nmode = "other"', '[engine]\nattempts = 0'):
+        with pytest.raises(config.ConfigError):
+            config.parse(CONFIG + "\n" + section)
+    assert config.parse(CONFIG + '\n[planner]\nmode = "vnode"\ntokens = [1, 5]').planner.tokens == (1, 5)

@@ -25,12 +25,79 @@ def test_chunks(spark):
     assert sizes == [50, 50, 20]
 
 
+def test_chunks_of_many_cells(spark):
+    df = spark.range(3000).select(F.xxhash64("id").alias("tok"), (F.col("id") % 3).alias("unit"), F.col("id"))
+    df = df.unionByName(spark.range(200).select(F.lit(5).cast("long").alias("tok"), F.lit(None).cast("long").alias("unit"), "id"))
+    found = scan.in_chunks(df, "unit", ["tok", "id"], 70).collect()
+    for unit in (0, 1, 2, None):
+        own = sorted((r.tok, r.id, r.chunk) for r in found if r.unit == unit)
+        assert [c for *_, c in own] == [i // 70 for i in range(len(own))]
+
+
+def test_units_of_uneven_plans(spark, monkeypatch):
+    ranges = [planner.TokenRange(a, b) for a, b in ((-(2**63), -5), (-5, 7), (10, 2**40), (2**40, 2**62))]
+    df = spark.createDataFrame([(t,) for t in (-(2**63), -(2**63) + 1, -5, -4, 7, 8, 10, 11, 2**40, 2**40 + 1, 2**62, 2**62 + 1, None)], "_tok bigint")
+    want = [None, 0, 0, 1, 1, None, None, 2, 2, 3, 3, None, None]
+    found = {r._tok: r.unit for r in scan.assign_ranges(df, planner.frame(spark, ranges)).collect()}
+    assert [found[t] for t in (-(2**63), -(2**63) + 1, -5, -4, 7, 8, 10, 11, 2**40, 2**40 + 1, 2**62, 2**62 + 1, None)] == want
+    assert "NestedLoop" not in scan.assign_ranges(df, planner.frame(spark, ranges))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_row_hash_tells_null_from_empty(spark):
     df = spark.createDataFrame([(None, "a"), ("", "a"), ("a", ""), ("", "a")], "x string, y string")
     h = [r[0] for r in df.select(validate.row_hash(df, ["x", "y"])).collect()]
     assert h[1] == h[3] and len(set(h)) == 3
 
 
+def hashes(spark, schema, *values):
+    df = spark.createDataFrame([(v,) for v in values], schema)
+    return [r[0] for r in df.select(validate.row_hash(df, ["x"])).collect()]
+
+
+def test_row_hash_is_exact(spark):
+    nan = float("nan")
+    values = [1.001, 1.004, 0.1, 0.1 + 2**-56, 0.30000000000000004, 0.3, 1e17, 1e300, -1e300, 5e-324, 2.0**-1022, float("inf"), -float("inf"), nan, None, 0.0, 3.0, 2.0**53, 2.0**53 + 2]
+    assert len(set(hashes(spark, "x double", *values))) == len(values)
+    assert len(set(hashes(spark, "x double", 0.0, -0.0))) == 1 and len(set(hashes(spark, "x double", nan, -nan))) == 1
+    assert len(set(hashes(spark, "x float", 1.5, 1.25, 3.4e38, None))) == 4
+
+
+def test_numbers_by_their_bits(spark):
+    import math
+    import random
+
+    rng = random.Random(2)
+    values = [rng.choice((-1, 1)) * rng.random() * 2.0 ** rng.randrange(-1060, 1020) for _ in range(3000)] + [2.0**k for k in range(-1074, 1024)] + [math.nextafter(2.0**k, 0) for k in range(-1000, 1024, 7)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for v, text in zip(values, (r[0] for r in df.select(validate.cell_text(F.col("x"), T.DoubleType())).collect())):
+        if v:
+            whole, power = text.lstrip("-").split("p")
+            assert math.ldexp(int(whole), int(power) - 52) == abs(v) and text.startswith("-") == (v < 0) and 2**52 <= int(whole) < 2**53
+
+
+def test_row_hash_frames_what_is_nested(spark):
+    for kind, values in (
+        ("array<string>", [["a,b"], ["a", "b"], ["N"], [None], [], None, [""], ["", ""]]),
+        ("map<string,string>", [{"a": "b,c=d"}, {"a": "b", "c": "d"}, {"a": None}, {"a": "N"}, {}, None, {"a=N": ""}]),
+        ("struct<p:string,q:string>", [("a,b", None), ("a", "b"), (None, None), ("N", None), None, ("", "")]),
+        ("array<array<double>>", [[[1.001]], [[1.004]], [[], [1.001]], [[1.001], []], [None], [[None]]]),
+    ):
+        assert len(set(hashes(spark, f"x {kind}", *values))) == len(values), kind
+
+
+def test_full_diff_of_close_numbers(spark):
+    a, b = (spark.createDataFrame([(1, v, ["x,y"] if v == 1.001 else ["x", "y"])], "k int, v double, l array<string>") for v in (1.001, 1.004))
+    (found,) = validate.full_diff(a, b, ["k"], ["v", "l"]).collect()
+    assert [c.name for c in found.changed] == ["l", "v"]
+    assert validate.full_diff(a, a, ["k"], ["v", "l"]).count() == 0
+
+
+def test_tolerance_of_one_sided_rows(spark):
+    side = lambda *rows: spark.createDataFrame(list(rows), "k int, _writetime bigint, _ttl int")
+    found = validate.within_tolerance(side((1, 5, 0), (2, 5, None), (None, 1, 1)), side((1, 9, 0), (3, 5, 0), (None, 1, 1)), ["k"]).collect()
+    assert sorted(((r.k, r.within) for r in found), key=str) == [(1, True), (2, False), (3, False), (None, True)]
+
+
 def test_no_units_match(spark):
     plan = planner.frame(spark, planner.split_range(planner.TokenRange(0, 10), 2))
     rows = spark.createDataFrame([], "unit int, k bigint")
@@ -56,6 +123,17 @@ def test_last_write_wins_is_idempotent(spark):
     assert sorted(map(tuple, merge.last_write_wins(once.union(df), ["k"], ["t", "v"]).collect())) == [(1, 7, "b"), (2, 1, "c")]
 
 
+def test_last_write_wins_on_maps(spark):
+    df = spark.createDataFrame([(1, 5, {"a": 1}), (1, 7, {"b": 2}), (2, 1, None)], "k int, t int, m map<string,int>")
+    assert sorted(map(tuple, merge.last_write_wins(df, ["k"], ["t"]).collect())) == [(1, 7, {"b": 2}), (2, 1, None)]
+
+
+def test_sets_are_rebuilt(spark):
+    rows = [(1, "tags", "a", 1, False), (1, "tags", "b", 1, False), (1, "tags", "a", 2, True), (1, "tags", "c", 3, True), (1, "tags", "c", 4, False)]
+    df = spark.createDataFrame(rows, "k int, column string, element string, writetime bigint, deleted boolean")
+    assert merge.rebuild_sets(df, ["k"]).first().entries == ["b", "c"]
+
+
 def log(spark, *rows):
     return spark.createDataFrame([(op, pk, ck, v, d, t, i) for i, (op, pk, ck, v, d, t) in enumerate(rows)], LOG)
 
@@ -94,12 +172,49 @@ def test_range_deletes_are_intervals(spark):
     assert [r[1] for r in applied(spark, *rows, both[0])] == list(range(6))  # no partner, no interval
 
 
+def test_composite_range_deletes(spark):
+    schema = TableSchema("ks", "t", (ColumnInfo("pk", "text", PK), ColumnInfo("a", "int", CK, 0), ColumnInfo("b", "int", CK, 1), ColumnInfo("c", "int", CK, 2), ColumnInfo("v", "text")))
+    every = [(a, b, c) for a in (4, 5, 8, 9) for b in (1, 2, 3) for c in (0, 7)]
+
+    def left(*bounds):
+        rows = [(cdc.INSERT, "p", *k, "x", None, 1) for k in every] + [(op, "p", *(*k, None, None, None)[:3], None, None, 5) for op, *k in bounds]
+        df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "op string, pk string, a int, b int, c int, v string, deleted array<string>, time bigint, seq bigint")
+        planned = cdc.plan(df, schema)
+        return {(r.a, r.b, r.c) for r in cdc.apply(planned, schema).collect()}, tuple(cdc.unpaired(planned, schema).first())
+
+    gone = lambda keep: {k for k in every if not keep(*k)}
+    assert left((cdc.LEFT_INCLUSIVE, 5), (cdc.RIGHT_EXCLUSIVE, 9)) == (gone(lambda a, b, c: 5 <= a < 9), (2, 0))
+    assert left((cdc.LEFT_EXCLUSIVE, 5, 1), (cdc.RIGHT_INCLUSIVE, 5, 3)) == (gone(lambda a, b, c: a == 5 and 1 < b <= 3), (2, 0))
+    assert left((cdc.LEFT_INCLUSIVE, 5, 2, 7), (cdc.RIGHT_INCLUSIVE, 5, 2)) == (gone(lambda a, b, c: (a, b) == (5, 2) and c >= 7), (2, 0))
+    assert left((cdc.LEFT_EXCLUSIVE, 4), (cdc.RIGHT_INCLUSIVE, 8), (cdc.LEFT_INCLUSIVE, 9)) == (gone(lambda a, b, c: 4 < a <= 8), (3, 1))
+    assert left((cdc.LEFT_INCLUSIVE, 5), (cdc.RIGHT_INCLUSIVE, 8), (cdc.LEFT_INCLUSIVE, 8, 2), (cdc.RIGHT_INCLUSIVE, 9, 1)) == (gone(lambda a, b, c: 5 <= a <= 8 or (a, b) == (9, 1)), (4, 0))
+
+
+def test_the_latest_interval_counts(spark):
+    rows = [(cdc.INSERT, "a", k, "x", None, t) for k, t in ((1, 4), (2, 6), (3, 9), (4, 4), (5, 12))]
+    spans = [(cdc.LEFT_INCLUSIVE, "a", 0, None, None, 8), (cdc.RIGHT_INCLUSIVE, "a", 3, None, None, 8), (cdc.LEFT_INCLUSIVE, "a", 1, None, None, 5), (cdc.RIGHT_INCLUSIVE, "a", 9, None, None, 5), (cdc.LEFT_INCLUSIVE, "a", 4, None, None, 11), (cdc.RIGHT_EXCLUSIVE, "a", 4, None, None, 11)]
+    assert [r[1] for r in applied(spark, *rows, *spans)] == [3, 5]
+    assert [r[1] for r in applied(spark, *rows, *spans, (cdc.DELETE_PARTITION, "a", None, None, None, 10))] == [5]
+
+
+def test_compacted_plans_say_the_same(spark):
+    rows = [(cdc.INSERT, "a", k % 4, f"v{k}", None, k) for k in range(12)] + [(cdc.UPDATE, "a", 1, None, ["v"], 20), (cdc.DELETE_ROW, "a", 2, None, None, 9), (cdc.DELETE_PARTITION, "b", None, None, None, 5), (cdc.INSERT, "b", 1, "old", None, 4), (cdc.LEFT_INCLUSIVE, "a", 3, None, None, 15), (cdc.RIGHT_INCLUSIVE, "a", 3, None, None, 15)]
+    planned = cdc.plan(log(spark, *rows), TABLE)
+    small = cdc.compact(planned, TABLE)
+    late = cdc.plan(log(spark, (cdc.INSERT, "a", 3, "late", None, 14), (cdc.INSERT, "b", 2, "late", None, 5), (cdc.INSERT, "a", 2, "new", None, 10)), TABLE)
+    for extra in (late, late.limit(0)):
+        both = [sorted(map(str, cdc.apply(p.unionByName(extra.select(p.columns)), TABLE).collect())) for p in (planned, small)]
+        assert both[0] == both[1]
+    assert small.count() < planned.count()
+
+
 def test_json_typing(spark):
     t = TableSchema("k", "t", (ColumnInfo("pk", "text", PK), ColumnInfo("n", "tinyint"), ColumnInfo("u", "uuid"), ColumnInfo("b", "blob"), ColumnInfo("l", "list<int>"), ColumnInfo("m", "map<text, int>"), ColumnInfo("f", "boolean"), ColumnInfo("d", "date")))
     rows = [("insert", '{"pk": "a", "n": 127, "u": "6F9619FF-8B86-D011-B42D-00CF4FC964FF", "b": "0aff", "l": [1, null, 2], "m": {"x": 1}, "f": true, "zz": 1}'),
-            ("insert", '{"pk": "a", "n": 128}'), ("insert", '{"pk": "a", "n": 1.5}'), ("insert", '{"n": 1}'), ("update", '{"pk": "a"}'), ("delete_partition", '{"pk": "a"}'), ("drop", '{"pk": "a"}'), ("insert", '{"pk": "a", "n": null}'), ("insert", '{"pk": "a", "d": "x"}'), ("insert", '{"pk": "a", "b": "ééz"}')]
+            ("insert", '{"pk": "a", "n": 128}'), ("insert", '{"pk": "a", "n": 1.5}'), ("insert", '{"n": 1}'), ("update", '{"pk": "a"}'), ("delete_partition", '{"pk": "a"}'), ("drop", '{"pk": "a"}'), ("insert", '{"pk": "a", "n": null}'), ("insert", '{"pk": "a", "d": "x"}'), ("insert", '{"pk": "a", "b": "ééz"}'), ("insert", '{"pk": "a", "m": {"x": null}}')]
     found = dualwrite.plan(spark.createDataFrame(rows, "op string, columns string"), t).collect()
-    assert [r.action for r in found] == ["insert", "error", "error", "error", "error", "delete_partition", "error", "insert", "error", "insert"]
+    assert [r.action for r in found] == ["insert", "error", "error", "error", "error", "delete_partition", "error", "insert", "error", "insert", "error"]
+    assert found[10].error == "m: null value in a map"
     assert (found[0].n, found[0].u, bytes(found[0].b), found[0].l, found[0].m, found[0].f) == (127, "6f9619ff-8b86-d011-b42d-00cf4fc964ff", b"\x0a\xff", [1, 2], {"x": 1}, True)
     assert found[1].error == "n: out of range for tinyint" and found[3].error == "missing key column pk" and bytes(found[9].b) == "ééz".encode()
 

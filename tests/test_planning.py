@@ -85,3 +85,11 @@ def test_ring_tokens_of_columns(spark):
     assert [r[0] for r in one] == [murmur3_token(b"hello"), None, murmur3_token(("é" * 20).encode())]
     both = df.where("b = 7").select(key_bytes(F.col("a").cast("binary"), F.unhex(F.lit("00000007"))).alias("k")).first()
     assert bytes(both.k) == b"\x00\x05hello\x00" + b"\x00\x04\x00\x00\x00\x07\x00"
+
+
+@settings(max_examples=30)
+@given(st.lists(st.binary(max_size=70), max_size=20))
+def test_many_ring_tokens_are_those_of_each(keys):
+    from rangeflow.functions.tokens import murmur3_tokens
+
+    assert murmur3_tokens(keys).tolist() == [murmur3_token(k) for k in keys]

@@ -4,19 +4,19 @@ from rangeflow.functions.cqltypes import parse
 from rangeflow.sources.schema import ColumnInfo, ColumnKind, Ensured, SchemaError, TableSchema, create_keyspace, differences, discover, ensure_table
 
 PK, CK, ST = ColumnKind.PARTITION_KEY, ColumnKind.CLUSTERING, ColumnKind.STATIC
-EVENTS = TableSchema("ecommerce", "events", (ColumnInfo("payload", "text"), ColumnInfo("ts", "timestamp", CK, 0), ColumnInfo("device_id", "text", PK, 1), ColumnInfo("tenant_id", "text", PK, 0)))
+EVENTS = TableSchema("harbour", "berths", (ColumnInfo("vessel", "text"), ColumnInfo("docked", "date", CK, 0), ColumnInfo("pier", "int", PK, 1), ColumnInfo("port", "text", PK, 0)))
 
 
 def test_canonical_order():
-    assert [c.name for c in EVENTS.ordered] == ["tenant_id", "device_id", "ts", "payload"]
-    assert [c.name for c in EVENTS.primary_key] == ["tenant_id", "device_id", "ts"]
+    assert [c.name for c in EVENTS.ordered] == ["port", "pier", "docked", "vessel"]
+    assert [c.name for c in EVENTS.primary_key] == ["port", "pier", "docked"]
 
 
 def test_statements():
-    assert EVENTS.range_select() == 'SELECT "tenant_id", "device_id", "ts", "payload", token("tenant_id", "device_id") FROM "ecommerce"."events" WHERE token("tenant_id", "device_id") > ? AND token("tenant_id", "device_id") <= ?'
-    assert 'writetime("payload"), ttl("payload"), token' in EVENTS.range_select(True, True)
+    assert EVENTS.range_select() == 'SELECT "port", "pier", "docked", "vessel", token("port", "pier") FROM "harbour"."berths" WHERE token("port", "pier") > ? AND token("port", "pier") <= ?'
+    assert 'writetime("vessel"), ttl("vessel"), token' in EVENTS.range_select(True, True)
     assert EVENTS.insert(True).endswith("VALUES (?, ?, ?, ?) USING TIMESTAMP ? AND TTL ?")
-    assert EVENTS.create_table().endswith('PRIMARY KEY (("tenant_id", "device_id"), "ts"))')
+    assert EVENTS.create_table().endswith('PRIMARY KEY (("port", "pier"), "docked"))')
     hits = TableSchema("ks", "hits", (ColumnInfo("pk", "text", PK), ColumnInfo("c", "counter")))
     assert hits.counter_update() == 'UPDATE "ks"."hits" SET "c" = "c" + ? WHERE "pk" = ?'
     bags = TableSchema("ks", "t", (ColumnInfo("pk", "text", PK), ColumnInfo("attrs", "map<text, int>"), ColumnInfo("tags", "set<text>"), ColumnInfo("f", "frozen<list<int>>"), ColumnInfo('o"dd', "text", ST)))
@@ -45,7 +45,7 @@ def test_types():
 def test_compatibility_and_fingerprint():
     other = TableSchema("x", "y", tuple(reversed(EVENTS.columns)))
     assert not differences(EVENTS, other) and EVENTS.fingerprint() == other.fingerprint()
-    changed = TableSchema("x", "y", (*EVENTS.columns[:3], ColumnInfo("tenant_id", "ascii", PK, 0)))
+    changed = TableSchema("x", "y", (*EVENTS.columns[:3], ColumnInfo("port", "ascii", PK, 0)))
     assert differences(EVENTS, changed) and EVENTS.fingerprint() != changed.fingerprint()
     assert differences(EVENTS, TableSchema("x", "y", EVENTS.columns[1:]))
 
