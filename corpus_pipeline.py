@@ -3,7 +3,9 @@
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before
 it kept; ``run`` writes what a stage returns as Parquet in the shared folder of
 ``spark.checkpoint.dir`` and reads it again for the next.  All stages but the
-last return the columns they were given.
+last return the columns they were given.  Null texts and texts without letters
+end at the first stage; null ids, repeated rows, ties, very long texts, empty
+tables and other columns are treated as the stages' operators say.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeflow.llm import languages, mixing, sentencepieces, simhash, templates
-from rangeflow.llm.common import checkpoint_dir, table
+from rangeflow.llm.common import checkpoint_dir, remove_folder, table
 
 TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -29,7 +31,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of templates that recur across documents go, of any length and by all their tokens, but for the first; ``n_chars`` follows the text."""
+    """Lines of templates that recur across documents go, but for the first; a document may become empty but stays; ``n_chars`` follows the text."""
     kept = templates.drop_templates(docs)
     return kept.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
@@ -59,11 +61,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over ``documents``."""
+    """The rows of the last stage over ``documents``.
+
+    What a stage wrote is removed once the next one has written; the rows that
+    the last stage reads stay, for they are read when the result is.
+    """
     folder, docs = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(at := f"{folder}/{k}-{name}")
             docs = spark.read.parquet(at)
+            if k:
+                remove_folder(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
