@@ -42,7 +42,7 @@ NEAR = 72  # bits of them in which two texts may differ
 GATHERED_WIDE = 1 << 14
 BANDS, ROWS = 20, 4  # keys of a text, and minima in each
 PIECE = 1024  # fingerprints of one key that are joined in one task
-PIECE_TEXTS, PIECE_BYTES = 512, 4 << 20  # texts of one class that are checked in one task, and their bytes
+PIECE_TEXTS, PIECE_BYTES = 128, 4 << 20  # texts of one class that are checked in one task, and their bytes
 _RNG = np.random.default_rng(SEED)
 FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 TURNS = _RNG.integers(0, 1 << 63, WIDE, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
