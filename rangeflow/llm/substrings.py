@@ -166,14 +166,18 @@ def remove_repeats(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     if some window of 50 words over it also starts in a document with a smaller
     id; windows are judged on the input.  A null text has no words.  Rows with
     a null id are never duplicates nor references; rows that share an id are no
-    duplicates of each other; other columns are left out.
+    duplicates of each other, so ties and repeated rows keep each other's words.
+    A very long text is hashed a slice at a time and its words are held once by
+    the task that cuts it; no rows give none; other columns are left out.
     """
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("print"), F.col("text").cast("string").alias("text"))
     named, nameless = every.where("doc_id is not null"), every.where("doc_id is null")
     lists = cut(named.mapInArrow(_anchor_lists, "doc_id long, print long, anchors array<long>"))
     each = lists.select("doc_id", "print", F.explode("anchors").alias("anchor"))
     # the smallest and largest id and the count are taken before the shuffle
+    # written out, so that both sides of the join are dealt out for it alone and a hot anchor can be split
     shared = each.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("anchor", (F.col("n") > block).alias("hot"))
+    shared = cut(shared)
     of_doc = each.join(shared, "anchor").groupBy("doc_id", "print").agg(*(F.collect_list(F.when(F.col("hot") == x, F.col("anchor"))).alias(n) for n, x in (("cold", False), ("hot", True))))
     of_doc = cut(of_doc)
 

@@ -247,6 +247,19 @@ def test_simhash_by_brute_force(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_query_6(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    got = registry.QUERIES["op6_simhash"](spark, DATA).select("doc_id", "fingerprint", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(brute_classes([(i, brute_simhash(t)) for i, t in rows]))
+
+
+def test_one_of_repeated_rows_stays(spark):
+    rows = [(1, "a b c d e f", {"x": 1}), (1, "a b c d e f", {"x": 1}), (1, "a b c d e f", None), (2, "a b c d e f", None), (3, "other words here", None), (None, "a b c d e f", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>")
+    for keep in (simhash.keep_one, simhash.keep_dissimilar):
+        assert sorted((str(r.doc_id) for r in keep(df).collect())) == ["1", "3", "None"]
+
+
 def test_trie_join_finds_every_class(spark):
     rng = np.random.default_rng(6)
     prints = []

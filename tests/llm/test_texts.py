@@ -356,3 +356,102 @@ def test_odd_quality(spark, odd):
     assert quality.score(odd.limit(0), model).count() == 0
     assert {r.score for r in quality.score(odd, quality.train(odd, labels.limit(0))).collect()} == {0.5}
     assert np.isfinite(quality.statistics(None)).all() and np.isfinite(quality.statistics("\x00")).all()
+
+
+def test_splits_have_the_largest_gains():
+    """The first level of the first tree against every split by loops."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((300, quality.WIDTH)).astype(np.float32)
+    y = (x[:, 5] + 0.5 * rng.standard_normal(300) > 0.2).astype(np.float64)
+    trees = quality.BoostedTrees().fit(x, y)
+    p = y.mean()
+    g, h = p - y, np.full(300, p * (1 - p))
+
+    def gain(own):
+        part = lambda some: g[some].sum() ** 2 / (h[some].sum() + quality.PENALTY)
+        return part(own) + part(~own) - part(np.ones(300, dtype=bool)) if min(h[own].sum(), h[~own].sum()) >= 1 else 0
+
+    best = max(gain(x[:, f] <= t) for f in range(quality.WIDTH) for t in np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality.BINS + 1)[1:-1])).astype(np.float32))
+    assert abs(gain(x[:, trees.feature[0, 0]] <= trees.threshold[0, 0]) - best) < 1e-6
+
+
+# ---- the registered queries, against what their contracts say
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+
+
+def run_query(name, spark):
+    from rangeflow.llm import registry
+
+    return registry.QUERIES[name](spark, DATA)
+
+
+def crc_of_id(i):
+    return zlib.crc32(str(i).encode())
+
+
+def test_query_1(spark, documents):
+    got = [(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in run_query("op1_fingerprints", spark).collect()]
+    assert sorted(got) == sorted(brute_compare([(i, t) for i, t, _ in documents]))
+
+
+def test_query_2(spark, documents, table):
+    want = set()
+    for i, t, _ in documents:
+        ids = table.library.encode(t or "", add_eos=True)
+        want.add((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(table.library.decode(ids).encode()).hexdigest()))
+    assert {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in run_query("op2_sentencepieces", spark).collect()} == want
+
+
+def test_query_7(spark, documents):
+    got = {r.doc_id: r for r in run_query("op7_media_columns", spark).collect()}
+    assert len(got) == len(documents)
+    for i, t, _ in documents:
+        data = (t or "").encode()
+        payload = data.ljust(max(1, -(-len(data) // 192)) * 192)
+        file = media.write_png(np.frombuffer(payload, dtype=np.uint8).reshape(-1, 64, 3))
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(file), hashlib.sha256(file).hexdigest())
+    for i, t, _ in documents[:6]:
+        want = brute_cosines((t or "").encode().ljust(max(1, -(-len((t or "").encode()) // 192)) * 192))
+        bits = np.unpackbits(np.frombuffer(bytes.fromhex(got[i].feature), dtype=np.uint8))
+        clear = np.abs(want) > 0.05
+        assert np.array_equal(bits[clear], (want > 0)[clear])
+
+
+def test_query_8(spark, documents):
+    got = {r.doc_id: r for r in run_query("op8_languages", spark).collect()}
+    known = {lang for i, _, lang in documents if crc_of_id(i) % 4 != 2 and lang}
+    right = []
+    for i, t, lang in documents:
+        r = got[i]
+        assert r.held_out == (crc_of_id(i) % 4 == 2) and 0 <= r.score <= 1
+        assert (r.lang_pred == "und") == (t is None or not any(map(str.isalpha, t))) and r.lang_pred in known | {"und"}
+        right += [r.lang_pred == lang] if r.held_out and lang and r.lang_pred != "und" else []
+    assert len(got) == len(documents) and np.mean(right) > 0.9
+
+
+def test_query_9(spark, documents):
+    got = run_query("op9_sharding", spark).collect()
+    want = sorted((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in documents)
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in got) == want
+    shards = {}
+    for r in got:
+        assert (r.law, r.grown_shard) == ("bytes", None)
+        shards.setdefault(r.shard, []).append(r)
+    assert set(shards) == set(range(8)) and all(sorted(r.slot for r in own) == list(range(len(own))) for own in shards.values())
+    sizes = [sum(r.size for r in own) for own in shards.values()]
+    assert max(sizes) - min(sizes) <= 2 * max(r.size for r in got)
+    assert len({(r.text_crc32, r.size, r.shard) for r in got}) == len({(r.text_crc32, r.size) for r in got})
+
+
+def test_query_10(spark, documents):
+    got = {r.doc_id: r for r in run_query("op10_quality", spark).collect()}
+    assert len(got) == len(documents)
+    for i, _, _ in documents:
+        r = got[i]
+        assert r.held_out == (crc_of_id(i) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3)
