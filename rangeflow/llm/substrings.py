@@ -9,14 +9,18 @@ the longest match at a position is one factor, and at the boundary where it
 ends every window that begins inside it is tried afresh, for it may go on in
 another passage.  Factors of 50 words and more are duplicate spans.
 
-An anchor of very many documents has no block.  Its windows are counted one by
-one, with the smallest document id taken before the shuffle.
+An anchor of too many rows for one block is parsed through finer blocks.  Equal
+passages are one reference, of the smallest document id, and any later copy is
+one factor, the whole of it.  Where more different passages are left than a
+block may hold, they are cut by longer shingles, whose smallest hashes are the
+anchors of blocks in their turn, up to shingles as long as the window, of which
+a block has one.  What factors cover in a reference holds for all its copies.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,20 +31,36 @@ from pyspark.sql import functions as F
 from rangeflow.llm.common import BASE, cut, emit, mixed, rows, table, word_hashes, word_spans
 
 WINDOW = 50
-SHINGLE = 8  # a power of two
-SALTS = 16  # tasks that the rows of one window are spread over
-BLOCK = 1024  # rows of an anchor beyond which its windows are counted one by one
+SHINGLES = (8, 16, 32, WINDOW)  # words of the shingles that cut the texts, and ever finer the passages of full blocks
+SALTS = 16  # tasks that the copies of one passage are spread over
+BLOCK = 1024  # passages that a block may hold
+RUN = 1024  # windows of a passage; more have one anchor only where words repeat at once
+
+PASSAGE = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("o1", pa.int64()), ("o2", pa.int64()), ("start", pa.int32()), ("words", pa.string())])
+COPY = pa.schema([*PASSAGE, ("size", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
+PASSAGE_SQL = "key long, doc_id long, o1 long, o2 long, start int, words string"
+COPY_SQL = f"{PASSAGE_SQL}, size int, w1 long, w2 long"
+SPAN_SQL = "doc_id long, o1 long, o2 long, lo int, hi int"
+
+
+def _joined(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of every ``width`` words in a row, from those of the words, by doubling."""
+    found, done, shift, step, factor = None, 0, 1, 1, int(BASE)
+    while True:
+        if width & step:
+            found = h if found is None else found[: len(h) - done] + h[done:] * np.uint64(shift)
+            done, shift = done + step, shift * factor % (1 << 64)
+        if done == width:
+            return found
+        h = h[:-step] + h[step:] * np.uint64(factor)
+        step, factor = step * 2, factor * factor % (1 << 64)
 
 
-def anchors(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each window of 50 words the smallest hash of its eight-word shingles."""
+def anchors(data: bytes, starts: np.ndarray, ends: np.ndarray, shingle: int = SHINGLES[0]) -> np.ndarray:
+    """For each window of 50 words the smallest hash of its shingles."""
     if len(starts) < WINDOW:
         return np.zeros(0, dtype=np.uint64)
-    h, step, factor = word_hashes(data, starts, ends), 1, int(BASE)
-    while step < SHINGLE:
-        h = h[:-step] + h[step:] * np.uint64(factor)
-        step, factor = step * 2, factor * factor % (1 << 64)
-    h, width, reach = mixed(h), WINDOW - SHINGLE + 1, 1
+    h, width, reach = mixed(_joined(word_hashes(data, starts, ends), shingle)), WINDOW - shingle + 1, 1
     while 2 * reach <= width:
         h = np.minimum(h[:-reach], h[reach:])
         reach *= 2
@@ -61,36 +81,51 @@ def _anchor_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield from emit(found(), schema)
 
 
+def _cuts(own: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of windows with one anchor, in pieces of at most ``RUN``."""
+    edges = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]]).tolist()
+    for lo, hi in zip(edges, edges[1:]):
+        for at in range(lo, hi, RUN):
+            yield at, min(at + RUN, hi)
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Rows ``doc_id, print, text, anchors``: every run of windows that has one of the anchors."""
+    """Passages of rows ``doc_id, print, text, anchors``: the words of every run of windows that has one of the anchors."""
     for doc_id, text_print, text, wanted in rows(batches):
         data, wanted = text.encode(), set(wanted)
         own = anchors(data, *word_spans(data)).view(np.int64)
         words = data.split()
-        edges = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]]).tolist()
-        for lo, hi in zip(edges, edges[1:]):
+        for lo, hi in _cuts(own):
             if (anchor := int(own[lo])) in wanted:
-                yield anchor, doc_id, text_print, lo, hi, words
+                yield anchor, doc_id, text_print, 0, lo, b" ".join(words[lo : hi - 1 + WINDOW]).decode()
+
+
+def _as_copy(found: tuple) -> tuple:
+    """A passage with the number of its words and 128 bits of digest of them."""
+    words = found[-1]
+    return *found, words.count(" ") + 1, *np.frombuffer(xxhash.xxh3_128_digest(words.encode()), dtype=np.int64).tolist()
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of each run."""
-    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("print", pa.int64()), ("start", pa.int32()), ("words", pa.string())])
-    found = ((anchor, doc_id, text_print, lo, b" ".join(words[lo : hi - 1 + WINDOW]).decode()) for anchor, doc_id, text_print, lo, hi, words in _runs(batches))
-    yield from emit(found, schema, size=4000)
+    yield from emit(_runs(batches), PASSAGE, size=4000)
+
 
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from emit(map(_as_copy, _runs(batches)), COPY, size=4000)
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """128 bits of digest of each window in the runs."""
-    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("doc_id", pa.int64()), ("print", pa.int64()), ("lo", pa.int32())])
+
+def _finer(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``key, doc_id, w1, w2, words`` cut by the anchors of longer shingles; a passage's digest is the owner of its parts."""
 
     def found() -> Iterator[tuple]:
-        for _, doc_id, text_print, lo, hi, words in _runs(batches):
-            for i in range(lo, hi):
-                w1, w2 = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words[i : i + WINDOW])), dtype=np.int64).tolist()
-                yield w1, w2, doc_id, text_print, i
+        for key, doc_id, w1, w2, text in rows(batches):
+            data = text.encode()
+            own = anchors(data, *word_spans(data), shingle).view(np.int64) ^ key
+            words = text.split(" ")
+            for lo, hi in _cuts(own):
+                yield _as_copy((int(own[lo]), doc_id, w1, w2, lo, " ".join(words[lo : hi - 1 + WINDOW])))
 
-    yield from emit(found(), schema, size=4000)
+    yield from emit(found(), COPY, size=4000)
 
 
 class ReferenceBlock:
@@ -128,20 +163,52 @@ class ReferenceBlock:
 
 
 def _factored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``anchor, doc_id, print, start, words`` in order of the first two."""
-    schema = pa.schema([("doc_id", pa.int64()), ("print", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+    """Rows ``key, doc_id, o1, o2, start, words`` in order of the first two."""
+    schema = pa.schema([("doc_id", pa.int64()), ("o1", pa.int64()), ("o2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 
     def found() -> Iterator[tuple]:
         held, block = None, ReferenceBlock()
-        for anchor, doc_id, text_print, start, words in rows(batches):
-            if anchor != held:
-                held, block = anchor, ReferenceBlock()
+        for key, doc_id, o1, o2, start, words in rows(batches):
+            if key != held:
+                held, block = key, ReferenceBlock()
             for lo, hi in block.factor(words.split(" "), doc_id):
-                yield doc_id, text_print, start + lo, start + hi
+                yield doc_id, o1, o2, start + lo, start + hi
 
     yield from emit(found(), schema, size=4000)
 
 
+def _by_blocks(passages: DataFrame) -> DataFrame:
+    """``doc_id, o1, o2, lo, hi``: what factors cover in passages whose blocks are of bounded size."""
+    return passages.repartition("key").sortWithinPartitions("key", "doc_id", "o1", "o2", "start").mapInArrow(_factored, SPAN_SQL)
+
+
+def _by_finer_blocks(copies: DataFrame, block: int, level: int = 0) -> DataFrame:
+    """The same for passages of any number: each different one is factored once, in a block that may be cut finer.
+
+    Written tables are on both sides of each join, so that a hot key can be split.
+    """
+    copies, digest = cut(copies), ["w1", "w2"]
+    merged = copies.groupBy(*digest).agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("key").alias("key"), F.first("words").alias("words"))
+    references = cut(merged)
+    as_passage = ("key", "doc_id", F.col("w1").alias("o1"), F.col("w2").alias("o2"), F.lit(0).alias("start"), "words")
+    full = cut(references.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("key"))
+    if level + 1 == len(SHINGLES) or full.isEmpty():
+        spans = _by_blocks(references.select(*as_passage))
+    else:
+        spans = _by_blocks(references.join(full, "key", "left_anti").select(*as_passage))
+        cutter = partial(_finer, shingle=SHINGLES[level + 1])
+        finer = references.join(full, "key", "left_semi").select("key", "doc_id", "w1", "w2", "words").mapInArrow(cutter, COPY_SQL)
+        spans = spans.union(_by_finer_blocks(finer, block, level + 1))
+    inside = spans.groupBy(F.col("o1").alias("w1"), F.col("o2").alias("w2")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    known = references.select(*digest, F.col("doc_id").alias("first"), "last").join(inside, digest, "left").where("last > first or spans is not null")
+    # one row a passage, repeated for each salt, so that one of very many copies is spread
+    salted = cut(known.drop("last")).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    met = copies.drop("key", "words").withColumn("salt", F.pmod(F.xxhash64("doc_id", "o1", "o2"), F.lit(SALTS)).cast("int")).join(salted, [*digest, "salt"])
+    whole = F.array(F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi")))
+    parts = F.transform("spans", lambda x: F.struct((x["lo"] + F.col("start")).alias("lo"), (x["hi"] + F.col("start")).alias("hi")))
+    return met.select("doc_id", "o1", "o2", F.inline(F.when(F.col("doc_id") > F.col("first"), whole).otherwise(parts)))
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
@@ -185,16 +252,10 @@ def remove_repeats(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     def texts_with(kind: str) -> DataFrame:
         return named.join(of_doc.select("doc_id", "print", kind).where(F.size(kind) > 0), ["doc_id", "print"]).select("doc_id", "print", "text", kind)
 
-    passages = texts_with("cold").mapInArrow(_passages, "anchor long, doc_id long, print long, start int, words string")
-    spans = passages.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "print", "start").mapInArrow(_factored, "doc_id long, print long, lo int, hi int")
+    spans = _by_blocks(texts_with("cold").mapInArrow(_passages, PASSAGE_SQL))
     if not of_doc.where(F.size("hot") > 0).isEmpty():
-        windows = texts_with("hot").mapInArrow(_windows, "w1 long, w2 long, doc_id long, print long, lo int")
-        first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-        # one row a window, repeated for each salt, so that a window of very many documents is spread
-        first = first.select("w1", "w2", "first", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
-        salted = windows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        spans = spans.union(salted.join(first, ["w1", "w2", "salt"]).where("doc_id > first").select("doc_id", "print", "lo", (F.col("lo") + WINDOW).alias("hi")))
-    of_doc_spans = spans.groupBy("doc_id", "print").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+        spans = spans.union(_by_finer_blocks(texts_with("hot").mapInArrow(_copies, COPY_SQL), block))
+    of_doc_spans = spans.groupBy("doc_id", F.col("o1").alias("print")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     marked = named.join(of_doc_spans, ["doc_id", "print"], "left").select("doc_id", "text", "spans")
     schema = "doc_id long, n_words long, n_removed long, kept string"
     alone = nameless.select("doc_id", "text", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans"))

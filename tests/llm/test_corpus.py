@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from rangeflow.llm import graph, mixing, registry, sharding, simhash, substrings, templates
+from rangeflow.llm.common import word_spans
 from tests.conftest import DATA
 
 ODD = [(1, "a b c\nd e f g"), (2, None), (3, ""), (4, "a b c\nd e f g"), (None, "a b c\nno id here"), (5, "w " * 60_000), (6, "\n\n"), (6, "a b c\nother row"), (6, "a b c\nother row"), (7, "é日本 😀 ́ x")]
@@ -197,6 +198,7 @@ def test_substrings_by_brute_force(spark, odd, block):
         return rng.choice([" ", "\n", "\t "]).join(parts)
 
     rows = [(k * 7 % 83, text()) for k in range(83)] + [(90, "z " * 200), (91, "z " * 120), (92, "z " * 200)]
+    rows += [(93, "y " * 2500), (94, "x " + "y " * 1300), (94, "x " + "y " * 1300), (95, " ".join(f"{k % 60}" for k in range(3000))), (96, " ".join(f"{k % 60}" for k in range(7, 1500)))]
     got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), block=block)
     assert sorted(map(tuple, got.collect())) == sorted(brute_substrings(rows))
     short = [(i, (t or "")[:400] if t else t) for i, t in ODD] + [(8, "a " * 60), (9, "a " * 55), (9, "b a " * 55)]
@@ -204,6 +206,32 @@ def test_substrings_by_brute_force(spark, odd, block):
     assert sorted(map(str, map(tuple, substrings.remove_repeats(df, block=block).collect()))) == sorted(map(str, brute_substrings(short)))
 
 
+def test_substrings_of_a_hot_passage(spark):
+    """A passage of many documents in unlike surroundings goes through every finer block."""
+    rng = random.Random(5)
+    passage = [f"p{k}" for k in range(90)]
+
+    def text(k):
+        own = [f"{k}-{j}" for j in range(rng.randrange(0, 30))]
+        return " ".join(own + passage[rng.randrange(0, 20) : rng.randrange(60, 90)] + own[::-1])
+
+    rows = [(k * 11 % 101, text(k)) for k in range(101)]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), block=5)
+    assert sorted(map(tuple, got.collect())) == sorted(brute_substrings(rows))
+
+
+@pytest.mark.parametrize("shingle", substrings.SHINGLES)
+def test_anchors_depend_on_the_window_alone(shingle):
+    rng = random.Random(shingle)
+    words = [f"w{rng.randrange(30)}" for _ in range(400)]
+    data = " ".join(words).encode()
+    own = substrings.anchors(data, *word_spans(data), shingle)
+    assert len(own) == 351
+    for at in (0, 17, 350):
+        alone = " ".join(words[at : at + 50]).encode()
+        assert substrings.anchors(alone, *word_spans(alone), shingle).tolist() == [own[at]]
+
+
 def test_substrings_of_little(spark, odd):
     assert substrings.remove_repeats(odd).count() == len(ODD)
     assert substrings.remove_repeats(odd.limit(0)).count() == 0
