@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
+ARROW_BYTES = 4 << 20  # of one Arrow batch; one row may be longer
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,9 +35,17 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session sends Arrow batches of at most ``ARROW_BYTES`` from now on, since a number of rows does not bound texts."""
+    held = df.sparkSession._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if held > ARROW_BYTES:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    return df
+
+
 def id_text(df: DataFrame, *more: str) -> DataFrame:
-    """``doc_id`` as long, ``text`` and the columns named; whatever else ``df`` has stays behind."""
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    """``doc_id`` as long, ``text`` and the columns named, for small batches; whatever else ``df`` has stays behind."""
+    return small_batches(df).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
 def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeflow.llm.common import emit, id_text, rows, table
+from rangeflow.llm.common import emit, id_text, rows, small_batches, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -255,7 +255,7 @@ def reject_unknown(docs: DataFrame, model: dict, least: float = 0.3) -> DataFram
             if any(keep):
                 yield part.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeflow.llm.common import BASE, cut, emit, mixed, rows, table, word_hashes, word_spans
+from rangeflow.llm.common import BASE, cut, emit, mixed, rows, small_batches, table, word_hashes, word_spans
 
 WINDOW = 50
 SHINGLES = (8, 16, 32, WINDOW)  # words of the shingles that cut the texts, and ever finer the passages of full blocks
@@ -237,7 +237,7 @@ def remove_repeats(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     A very long text is hashed a slice at a time and its words are held once by
     the task that cuts it; no rows give none; other columns are left out.
     """
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("print"), F.col("text").cast("string").alias("text"))
+    every = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("print"), F.col("text").cast("string").alias("text"))
     named, nameless = every.where("doc_id is not null"), every.where("doc_id is null")
     lists = cut(named.mapInArrow(_anchor_lists, "doc_id long, print long, anchors array<long>"))
     each = lists.select("doc_id", "print", F.explode("anchors").alias("anchor"))
