@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -48,8 +48,17 @@ def id_text(df: DataFrame, *more: str) -> DataFrame:
     return small_batches(df).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
-def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Rows of Arrow batches as tuples, converted a few at a time so that long texts do not pile up."""
+#: What tasks of an operator leave in their worker for its next tasks: how to empty it, by owner.
+left_behind: dict[str, Callable[[], None]] = {}
+
+
+def rows(batches: Iterator[pa.RecordBatch], owner: str = "") -> Iterator[tuple]:
+    """Rows of Arrow batches as tuples, converted a few at a time so that long texts do not pile up.
+
+    What others than ``owner`` left behind in this worker is emptied first.
+    """
+    for name in [x for x in left_behind if x != owner]:
+        left_behind.pop(name)()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)

@@ -22,7 +22,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from rangeflow.llm.common import emit, id_text, rows, table
+from rangeflow.llm.common import emit, id_text, left_behind, rows, table
 
 SPACE = "▁"
 KEPT = 300_000  # segments that a worker keeps, and again as many of the generation before
@@ -246,15 +246,25 @@ class PrefixTable:
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
 
+    def forget(self) -> None:
+        """Empties what encoding has kept for later texts; the automaton stays."""
+        self.kept, self.older, self.apart = {}, {}, {}
+
 
 _ready: dict[str, PrefixTable] = {}
 
 
+def _forget() -> None:
+    for table_ in _ready.values():
+        table_.forget()
+
+
 def _table(model: bytes) -> PrefixTable:
-    """One table for each model and worker; a worker takes many tasks."""
+    """One table for each model and worker; a worker takes many tasks, and those of other operators make it forget."""
     key = hashlib.sha256(model).hexdigest()
     if key not in _ready:
         _ready[key] = PrefixTable(model)
+    left_behind[__name__] = _forget
     return _ready[key]
 
 
@@ -276,7 +286,7 @@ def encode(docs: DataFrame, model_path: str, with_ids: bool = True) -> DataFrame
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *more])
 
         def found() -> Iterator[tuple]:
-            for doc_id, text in rows(batches):
+            for doc_id, text in rows(batches, __name__):
                 parts = own.parts(text)
                 ids = [*chain.from_iterable(x for x, _ in parts), own.end]
                 said = " ".join([*(x for _, x in parts), str(own.end)])
@@ -296,7 +306,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _table(model.value)
         schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
-        yield from emit(((i, None if ids is None else own.decode(ids)) for i, ids in rows(batches)), schema)
+        yield from emit(((i, None if ids is None else own.decode(ids)) for i, ids in rows(batches, __name__)), schema)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rangeflow.llm import fingerprints, languages, media, quality, sentencepieces
+from rangeflow.llm import common, fingerprints, languages, media, quality, sentencepieces
 from tests.conftest import DATA
 
 ODD = [(1, "one two three"), (2, None), (3, ""), (4, "one two three"), (None, "no id"), (5, "x" * 300_000), (6, " \n\t "), (6, "same id"), (7, "é日本😀 ́"), (6, "same id")]
@@ -249,6 +249,19 @@ def test_segments_beyond_the_kept_ones(table, monkeypatch):
 # ---- languages
 
 
+def test_other_operators_empty_what_encoding_kept(table):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        own = sentencepieces._table(f.read())
+    text = "one two three and some more words"
+    ids = own.encode(text)
+    assert own.kept and own.apart
+    assert list(common.rows(iter(()), sentencepieces.__name__)) == [] and own.kept
+    assert list(common.rows(iter(()))) == [] and not own.kept and not own.older and not own.apart
+    assert own.encode(text) == ids == table.encode(text)
+
+
 def test_tables_answer_as_the_network_does():
     net = languages.ByteConvolution(["a", "b"])
     windows = languages._windows("Straße über alles, déjà vu et cetera".encode() * 20)
