@@ -162,7 +162,8 @@ def _in_force(planned: DataFrame, schema: TableSchema) -> DataFrame:
         spans = pair_bounds(planned, schema).unionByName(spans)
     ends = F.array(F.struct(F.col("low").alias("place"), F.lit(True).alias("starts")), F.struct(F.col("high").alias("place"), F.lit(False).alias("starts")))
     each = spans.withColumn("id", F.monotonically_increasing_id()).select(*partition, F.explode(ends).alias("e"), "time", "id").select(*partition, "e.place", "e.starts", "time", "id")
-    sorted_ = each.repartition(*partition).sortWithinPartitions(*partition, "place")
+    # by a struct: Spark takes the union as dealt out by the key, would drop a repartition by it, and then reads the two parts in different cuts
+    sorted_ = each.repartition(F.struct(*partition)).sortWithinPartitions(*partition, "place")
     out = T.StructType([*(each.schema[c] for c in (*partition, "place")), T.StructField("gone_at", T.LongType())])
     n = len(partition)
     return sorted_.mapInArrow(lambda batches: _swept(batches, n), out)

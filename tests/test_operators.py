@@ -197,6 +197,23 @@ def test_the_latest_interval_counts(spark):
     assert [r[1] for r in applied(spark, *rows, *spans, (cdc.DELETE_PARTITION, "a", None, None, None, 10))] == [5]
 
 
+def test_ranges_and_partitions_meet_however_their_shuffles_are_read(spark):
+    users = [f"u{i}" for i in range(400)]
+    rows = [(cdc.INSERT, u, k, "x", None, 1) for u in users for k in (1, 4)]
+    spans = [(op, u, k, None, None, 3) for u in users for op, k in ((cdc.LEFT_INCLUSIVE, 2), (cdc.RIGHT_EXCLUSIVE, 3))]
+    gone = [(cdc.DELETE_PARTITION, u, None, None, None, 5) for u in users]
+    # sizes at which the parts' shuffles are put together differently, as those of large tables are
+    conf = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert applied(spark, *rows, *spans, *gone) == []
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_compacted_plans_say_the_same(spark):
     rows = [(cdc.INSERT, "a", k % 4, f"v{k}", None, k) for k in range(12)] + [(cdc.UPDATE, "a", 1, None, ["v"], 20), (cdc.DELETE_ROW, "a", 2, None, None, 9), (cdc.DELETE_PARTITION, "b", None, None, None, 5), (cdc.INSERT, "b", 1, "old", None, 4), (cdc.LEFT_INCLUSIVE, "a", 3, None, None, 15), (cdc.RIGHT_INCLUSIVE, "a", 3, None, None, 15)]
     planned = cdc.plan(log(spark, *rows), TABLE)
