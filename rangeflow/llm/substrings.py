@@ -35,6 +35,7 @@ SHINGLES = (8, 16, 32, WINDOW)  # words of the shingles that cut the texts, and
 SALTS = 16  # tasks that the copies of one passage are spread over
 BLOCK = 1024  # passages that a block may hold
 RUN = 1024  # windows of a passage; more have one anchor only where words repeat at once
+HOT = 200_000  # anchors of full blocks that every task may get, so that their passages are cut where the texts are read; with more, the texts are shuffled for it
 
 PASSAGE = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("o1", pa.int64()), ("o2", pa.int64()), ("start", pa.int32()), ("words", pa.string())])
 COPY = pa.schema([*PASSAGE, ("size", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
@@ -89,11 +90,17 @@ def _cuts(own: np.ndarray) -> Iterator[tuple[int, int]]:
             yield at, min(at + RUN, hi)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Passages of rows ``doc_id, print, text, anchors``: the words of every run of windows that has one of the anchors."""
-    for doc_id, text_print, text, wanted in rows(batches):
-        data, wanted = text.encode(), set(wanted)
+def _runs(batches: Iterator[pa.RecordBatch], hot: np.ndarray | None = None) -> Iterator[tuple]:
+    """Passages of rows ``doc_id, print, text, anchors``: the words of every run of windows that has one of the anchors.
+
+    With the sorted anchors ``hot`` the rows need none of their own.
+    """
+    for doc_id, text_print, text, *given in rows(batches):
+        data = (text or "").encode()
         own = anchors(data, *word_spans(data)).view(np.int64)
+        wanted = set(given[0] if hot is None else own[hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own].tolist())
+        if not wanted:
+            continue
         words = data.split()
         for lo, hi in _cuts(own):
             if (anchor := int(own[lo])) in wanted:
@@ -110,8 +117,8 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from emit(_runs(batches), PASSAGE, size=4000)
 
 
-def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from emit(map(_as_copy, _runs(batches)), COPY, size=4000)
+def _copies(batches: Iterator[pa.RecordBatch], hot: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    yield from emit(map(_as_copy, _runs(batches, hot)), COPY, size=4000)
 
 
 def _finer(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -245,7 +252,10 @@ def remove_repeats(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     # written out, so that both sides of the join are dealt out for it alone and a hot anchor can be split
     shared = each.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("anchor", (F.col("n") > block).alias("hot"))
     shared = cut(shared)
-    of_doc = each.join(shared, "anchor").groupBy("doc_id", "print").agg(*(F.collect_list(F.when(F.col("hot") == x, F.col("anchor"))).alias(n) for n, x in (("cold", False), ("hot", True))))
+    hot = shared.where("hot").select("anchor")
+    n_hot = hot.limit(HOT + 1).count()
+    told = 0 < n_hot <= HOT
+    of_doc = each.join(shared.where("not hot") if told else shared, "anchor").groupBy("doc_id", "print").agg(*(F.collect_list(F.when(F.col("hot") == x, F.col("anchor"))).alias(n) for n, x in (("cold", False), ("hot", True))))
     of_doc = cut(of_doc)
 
     # the joins below all deal out the texts by the same key, which Spark does once and reads again
@@ -253,7 +263,10 @@ def remove_repeats(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         return named.join(of_doc.select("doc_id", "print", kind).where(F.size(kind) > 0), ["doc_id", "print"]).select("doc_id", "print", "text", kind)
 
     spans = _by_blocks(texts_with("cold").mapInArrow(_passages, PASSAGE_SQL))
-    if not of_doc.where(F.size("hot") > 0).isEmpty():
+    if told:
+        cutter = partial(_copies, hot=np.sort(hot.toArrow()["anchor"].to_numpy()))
+        spans = spans.union(_by_finer_blocks(named.mapInArrow(cutter, COPY_SQL), block))
+    elif n_hot:
         spans = spans.union(_by_finer_blocks(texts_with("hot").mapInArrow(_copies, COPY_SQL), block))
     of_doc_spans = spans.groupBy("doc_id", F.col("o1").alias("print")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     marked = named.join(of_doc_spans, ["doc_id", "print"], "left").select("doc_id", "text", "spans")

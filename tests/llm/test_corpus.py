@@ -220,6 +220,24 @@ def test_substrings_of_a_hot_passage(spark):
     assert sorted(map(tuple, got.collect())) == sorted(brute_substrings(rows))
 
 
+@pytest.mark.parametrize("most", (substrings.HOT, 2))
+def test_few_hot_anchors_need_no_shuffle_of_the_texts(spark, monkeypatch, most):
+    rng = random.Random(7)
+    passages = [[f"p{k}w{rng.randrange(10**6)}" for _ in range(70)] for k in range(3)]
+    rows = [(k, None if k == 5 else " ".join([*(f"d{k}w{i}" for i in range(rng.randrange(20))), *passages[k % 3], f"end{k}", *passages[rng.randrange(3)]])) for k in range(30)]
+    plans, way = [], substrings._by_finer_blocks
+
+    def seen(copies, *more):
+        plans.append(copies._jdf.queryExecution().executedPlan().toString())
+        return way(copies, *more)
+
+    monkeypatch.setattr(substrings, "HOT", most)
+    monkeypatch.setattr(substrings, "_by_finer_blocks", seen)
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), block=4)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, brute_substrings(rows)))
+    assert ("Exchange" in plans[0]) == (most == 2)
+
+
 @pytest.mark.parametrize("shingle", substrings.SHINGLES)
 def test_anchors_depend_on_the_window_alone(shingle):
     rng = random.Random(shingle)
