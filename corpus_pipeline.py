@@ -31,8 +31,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of templates that recur across documents go, but for the first; a document may become empty but stays; ``n_chars`` follows the text."""
-    kept = templates.drop_templates(docs)
+    """Lines of templates that recur across documents go, but for the first; a document may become empty but stays; ``n_chars`` follows the text.
+
+    Leaves split until no line is left.
+    """
+    kept = templates.drop_templates(docs, to_the_end=True)
     return kept.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 

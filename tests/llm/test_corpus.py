@@ -89,6 +89,29 @@ def test_templates_by_brute_force(spark, odd):
     assert templates.drop_templates(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("firsts", (templates.FIRSTS, 3))
+def test_the_pipeline_splits_leaves_to_the_end(spark, monkeypatch, firsts):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    openings = [" ".join(f"o{x}{chr(97 + k)}" for k in range(12)) for x in "xy"]
+    tails = [[rng.choice("pqrstu") for _ in range(n)] for n in (20, 20, 20, 20, 20, 20, 37, 37, 37, 8)]
+
+    def line():
+        tail = list(rng.choice(tails))
+        for _ in range(rng.randrange(4)):  # up to three words part: near, and then not
+            tail[rng.randrange(len(tail))] = rng.choice(("va", "vb", "vc", "p"))
+        return f"{rng.choice(openings)} {' '.join(tail)}"
+
+    rows = [(k, "\n".join(line() for _ in range(rng.randrange(1, 5)))) for k in range(150)]
+    monkeypatch.setattr(templates, "FIRSTS", firsts)
+    got = corpus_pipeline.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA).collect()
+    capped = sorted((i, t) for i, t, _ in brute_templates(rows))
+    monkeypatch.setattr(templates, "SPLITS", 1000)
+    want = sorted((i, t) for i, t, _ in brute_templates(rows))
+    assert sorted(map(tuple, got)) == want != capped
+
+
 def test_no_line_is_lost_for_its_tail(spark):
     opening = " ".join("one two three four five six seven eight nine ten eleven twelve".split())
     texts = [f"{opening} {w}" for w in ("alpha", "beta", "gamma")] + [f"{opening} {' '.join('abcdefghi')} {w}" for w in "xyz"]
