@@ -51,7 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the digests of the ids and of the text decoded from them."""
-    return sentencepieces.encode(docs, TOKENIZER)
+    return sentencepieces.encode(docs, TOKENIZER, kept=150_000)  # beside what the stages before leave in an executor
 
 
 STAGES = [

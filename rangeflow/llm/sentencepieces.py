@@ -68,6 +68,7 @@ class PrefixTable:
         self.apart: dict[int, bool] = {}
         self.kept: dict[str, tuple[tuple[int, ...], str]] = {}
         self.older: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.most: int | None = None  # segments to keep, if not ``KEPT``
 
     def _build(self, pieces: list[str]) -> None:
         """The automaton: for each state its moves, where it falls back to, and the tokens that end there, longest first."""
@@ -193,7 +194,7 @@ class PrefixTable:
 
     def _keep(self, word: str, found: tuple[tuple[int, ...], str]) -> tuple[tuple[int, ...], str]:
         if len(word) <= 64:
-            if len(self.kept) >= KEPT:
+            if len(self.kept) >= (self.most or KEPT):
                 self.older, self.kept = self.kept, {}
             self.kept[word] = found
         return found
@@ -268,14 +269,14 @@ def _table(model: bytes) -> PrefixTable:
     return _ready[key]
 
 
-def encode(docs: DataFrame, model_path: str, with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, with_ids: bool = True, kept: int | None = None) -> DataFrame:
     """Ids of every whole text with an end id, their digest, and the digest of the text decoded from them.
 
     The model is read on the driver and sent along, so executors need no file.
     A null or empty text has only the end id; a very long one is encoded stretch
     by stretch and its ids are held whole.  Rows are independent: repeated rows
     and ids stay, null ids pass through, no rows give none, other columns are
-    left out.  No shuffle.
+    left out.  No shuffle.  ``kept`` bounds the segments that a worker keeps.
     """
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -283,6 +284,7 @@ def encode(docs: DataFrame, model_path: str, with_ids: bool = True) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _table(model.value)
+        own.most = kept
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *more])
 
         def found() -> Iterator[tuple]:
